@@ -16,6 +16,7 @@ doc_id stays null; an empty table gives no row. Other columns are ignored, whate
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,9 +27,10 @@ from pyspark.sql import functions as F
 from sedimenta.llm.common import persisted, utf8
 
 PIECES = "doc_id bigint, uid bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-#: The six characters of white space that every pattern of the tokenizer treats as such.
+#: A word of Latin letters with punctuation around it; an apostrophe may begin a contraction and is left to the tokenizer.
+_PLAIN = re.compile(r"([!-&(-/:-@\[-`{-~]*)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 _MEMORY: dict[str, tuple[object, dict[bytes, bytes]]] = {}
-MEMORY_WORDS = 600_000
+MEMORY_WORDS, MEMORY_WORD_BYTES = 600_000, 1024
 
 
 def default_vocabulary() -> str:
@@ -37,45 +39,61 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _ids_of(tokenizer, word: bytes) -> bytes:
-    ids = tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
+def _packed(ids: list[int]) -> bytes:
     return b"".join(i.to_bytes(4, "little") for i in ids)
 
 
+def _byte_letters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it prints, else one from 256 on."""
+    printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printed]
+    return [chr(b) if b in printed else chr(256 + others.index(b)) for b in range(256)]
+
+
 def word_encoder(path: str):
-    """A function from a text's bytes to its ids, 4 bytes each, little-endian; the memory lives as long as the worker."""
+    """A function from a text's bytes to its ids, 4 bytes each, little-endian; the memory lives as long as the worker.
+
+    White space (the six ASCII characters) always ends a word, so words are encoded one by one and remembered. In a word
+    of Latin letters with punctuation around it, the letters and each run of punctuation are units of the tokenizer's own
+    pattern, so the letters go to its model directly; any other word goes through the whole tokenizer.
+    """
     if path not in _MEMORY:
         from tokenizers import Tokenizer
 
         _MEMORY[path] = (Tokenizer.from_file(path), {})
     tokenizer, memory = _MEMORY[path]
+    model, letter = tokenizer.model, _byte_letters()
+
+    def whole(word: bytes) -> bytes:
+        return _packed(tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
 
     def missing(word: bytes) -> bytes:
-        # a single full stop or comma after an ASCII letter is a token of its own
-        if len(word) > 2 and word[-1] in b".," and word[-2:-1].isalpha():
-            stem = word[:-1]
-            return (memory.get(stem) or _ids_of(tokenizer, stem)) + _ids_of(tokenizer, word[-1:])
-        return _ids_of(tokenizer, word)
+        plain = None if b"<|" in word else _PLAIN.fullmatch(word.decode("utf-8", "replace"))
+        if not plain:
+            return whole(word)
+        out = []
+        for k, unit in enumerate(plain.groups()):
+            if unit:
+                raw = unit.lower().encode()
+                ids = memory.get(raw)
+                if ids is None:
+                    ids = _packed([t.id for t in model.tokenize("".join(map(letter.__getitem__, raw)))]) if k == 1 else whole(raw)
+                    memory[raw] = ids
+                out.append(ids)
+        return b"".join(out)
 
     def encode(text: bytes) -> bytes:
         if b"<|" not in text:  # strings of special tokens are told by their case
             text = text.lower()
         words = text.split()
-        try:
-            return b"".join(map(memory.__getitem__, words))
-        except KeyError:
-            pass
         if len(memory) > MEMORY_WORDS:
             memory.clear()
-        out = []
-        for word in words:
-            ids = memory.get(word)
-            if ids is None:
-                ids = missing(word)
-                if len(word) <= 64:
-                    memory[word] = ids
-            out.append(ids)
-        return b"".join(out)
+        long = {}
+        for word in set(words).difference(memory):
+            (memory if len(word) <= MEMORY_WORD_BYTES else long)[word] = missing(word)
+        if long:
+            return b"".join([memory[w] if w in memory else long[w] for w in words])
+        return b"".join(map(memory.__getitem__, words))
 
     return encode
 
