@@ -1 +1 @@
-
+"""Functions that Spark has no built-in for."""

@@ -1 +1 @@
-
+"""Compositions of operators: merge plans, migrations, reports."""
