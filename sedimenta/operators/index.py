@@ -5,8 +5,13 @@ from pyspark.sql import functions as F
 
 from sedimenta.schemas import REFINEMENTS
 
-BY_OBJECT = Window.partitionBy("cas_id").orderBy("ord")
-EARLIER = BY_OBJECT.rowsBetween(Window.unboundedPreceding, -1)
+
+def by_object():
+    return Window.partitionBy("cas_id").orderBy("ord")
+
+
+def earlier():
+    return by_object().rowsBetween(Window.unboundedPreceding, -1)
 
 
 def stored_relpath(cas_id: Column) -> Column:
@@ -27,7 +32,7 @@ def names(journal: DataFrame) -> DataFrame:
 
 def media_conflicts(journal: DataFrame) -> DataFrame:
     """Changes of an object's media type that are no known refinement."""
-    before = F.lag("media_type").over(BY_OBJECT)
+    before = F.lag("media_type").over(by_object())
     allowed = F.lit(False)
     for old, new in REFINEMENTS:
         allowed = allowed | ((F.col("before") == old) & (F.col("media_type") == new))
@@ -42,7 +47,7 @@ def totals(journal: DataFrame) -> DataFrame:
 
 def outcomes(journal: DataFrame) -> DataFrame:
     """stored for an object's first event, dedup for later ones, with the number of earlier ones."""
-    rank = F.row_number().over(BY_OBJECT)
+    rank = F.row_number().over(by_object())
     return journal.withColumn("rank", rank).select("*", F.when(F.col("rank") == 1, "stored").otherwise("dedup").alias("outcome"), (F.col("rank") - 1).cast("bigint").alias("prior_count")).drop("rank")
 
 
@@ -61,10 +66,10 @@ def dry_run_summary(incoming: DataFrame, stored: DataFrame) -> DataFrame:
 def receipts(journal: DataFrame) -> DataFrame:
     """The last event of each object with what was known before it; prior sightings keep repeats."""
     return (
-        journal.withColumn("prior_sightings", F.count("*").over(EARLIER))
-        .withColumn("first_seen", F.first("at").over(BY_OBJECT))
-        .withColumn("first_batch", F.first("batch").over(BY_OBJECT))
-        .withColumn("last", F.lead("ord").over(BY_OBJECT).isNull())
+        journal.withColumn("prior_sightings", F.count("*").over(earlier()))
+        .withColumn("first_seen", F.first("at").over(by_object()))
+        .withColumn("first_batch", F.first("batch").over(by_object()))
+        .withColumn("last", F.lead("ord").over(by_object()).isNull())
         .filter("last")
         .select("cas_id", "event_id", "at", "source_root_id", "original_relpath", "prior_sightings", "first_seen", "first_batch")
     )
@@ -74,7 +79,7 @@ def live_prior_names(journal: DataFrame) -> DataFrame:
     """For each event, how many distinct names its object had before: what a receipt counts while the store is live."""
     by_name = Window.partitionBy("cas_id", "source_root_id", "original_relpath").orderBy("ord")
     new = F.when(F.row_number().over(by_name) == 1, 1).otherwise(0)
-    return journal.withColumn("new", new).select("event_id", F.coalesce(F.sum("new").over(EARLIER), F.lit(0)).alias("prior_names"))
+    return journal.withColumn("new", new).select("event_id", F.coalesce(F.sum("new").over(earlier()), F.lit(0)).alias("prior_names"))
 
 
 def witness(journal: DataFrame) -> DataFrame:
