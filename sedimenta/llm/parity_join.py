@@ -14,8 +14,8 @@ their first d + p. So only these are emitted; a set with fewer than p keys that
 or the least t of the band if that is less; if a band has t < 1 (which takes an odd set), its parts are single shingles.
 
 Verification. Sets that are equal form a class first, and a class has one row per task at most. Within each key the
-classes are compared with the smallest (a star), which joins a group of copies without its pairs; then, for the keys
-that still hold several components, the pairs across components. Every comparison first asks the sizes and a second
+classes are compared with the one that shares the most keys (a star), which joins a group of copies without its pairs;
+then, for the keys that still hold several components, all pairs across components. Every comparison first asks the sizes and a second
 parity sketch of one bit per shingle, then the sets themselves, read again from the texts of those documents alone.
 
 Links, keys, components stay distributed. Shingles are 64-bit hashes of their words, sets 128-bit sums over them.
@@ -214,29 +214,37 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     by_key = Window.partitionBy("key").orderBy("uid")
     keyed = own.select("uid", F.explode("bands").alias("b")).select("uid", F.col("b.band").alias("band"), F.explode("b.keys").alias("key"))
     shared = persisted(keyed.withColumn("before", F.lag("uid").over(by_key)).withColumn("after", F.lead("uid").over(by_key)).filter("before IS NOT NULL OR after IS NOT NULL").select("key", "uid", "band"), "shared")
-    enough = shared.groupBy("uid", "band").agg(F.count("*").alias("keys")).filter(F.col("keys") >= least).select("uid", "band")
-    near = persisted(shared.join(enough, ["uid", "band"]).join(emitting, "uid").select("key", "rep").distinct(), "near")
-
-    hub = F.min("rep").over(Window.partitionBy("key").orderBy("rep"))
-    star = near.withColumn("hub", hub).filter("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    enough = shared.groupBy("uid", "band").agg(F.count("*").alias("keys")).filter(F.col("keys") >= least)
+    near = shared.join(enough, ["uid", "band"]).join(emitting, "uid").groupBy("key", "rep").agg(F.max("keys").alias("keys"))
     facts = classes.select("rep", "n", "sketch")
+    near = persisted(near, "near")
+    label = F.coalesce("component", "rep")
+
+    def ordered(pairs: DataFrame, tested: DataFrame | None = None) -> DataFrame:
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return persisted(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "asked")
 
     def allowed(pairs: DataFrame) -> DataFrame:
         x, y = facts.withColumnRenamed("rep", "a").alias("x"), facts.withColumnRenamed("rep", "b").alias("y")
         return pairs.alias("p").join(x, "a").join(y, "b").filter(may_link("x", "y")).select("a", "b")
 
-    star = persisted(star, "star")
-    links = verified(documents, allowed(star), classes)
+    def still_open(found: DataFrame) -> DataFrame:
+        """The rows of keys that hold more than one component."""
+        labelled = near.join(found, "rep", "left").withColumn("component", label)
+        split = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+        return labelled.join(split, "key", "left_semi")
+
+    # a star in each key around the class with the most shared keys, which is likely the text that others were copied from
+    first = Window.partitionBy("key").orderBy(F.col("keys").desc(), "rep")
+    tested = ordered(near.withColumn("hub", F.first("rep").over(first)).filter("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")))
+    links = verified(documents, allowed(tested), classes)
     found = components(links)
 
-    label = F.coalesce("component", "rep")
-    labelled = near.join(found, "rep", "left").withColumn("component", label)
-    split = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    open_keys = persisted(labelled.join(split, "key", "left_semi").join(facts, "rep"), "open")
+    # then every pair that is left
+    open_keys = persisted(still_open(found).join(facts, "rep"), "open")
     x, y = open_keys.alias("x"), open_keys.alias("y")
     across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & may_link("x", "y"))
-    across = across.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = verified(documents, across, classes)
+    more = verified(documents, ordered(across.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")), tested), classes)
     if not more.isEmpty():
         found = components(links.unionByName(more))
 
