@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,8 @@ from pyspark.sql import functions as F
 from sedimenta.llm.common import persisted, utf8
 
 DEPTH = 5
-CHUNK = 1 << 21  # bytes that are sorted at once
-HELD_WORDS, HELD_GRAMS = 400_000, 1 << 21
+CHUNK = 1 << 19  # bytes that are sorted at once
+HELD_WORDS, HELD_GRAMS, ROWS = 300_000, 3 << 19, 50_000
 U = np.uint64
 LOG2 = float(np.log(2.0))
 
@@ -92,11 +93,13 @@ COUNTS = "word binary, gram bigint, n bigint"
 def counted(documents: DataFrame) -> DataFrame:
     """documents: train, text. Counts of words (b"" is the end) and of grams in training texts; grams of other texts with 0."""
 
-    def rows(words: Counter, grams: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
-        k, g = len(words), len(grams[0])
-        return pa.RecordBatch.from_arrays(
-            [pa.array([*words, *[None] * g], pa.binary()), pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(grams[0].view(np.int64))]), pa.concat_arrays([pa.array([*words.values()], pa.int64()), pa.array(grams[1])])], names=["word", "gram", "n"]
-        )
+    def rows(words: Counter, grams: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        own = iter(words.items())
+        while part := list(islice(own, ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.binary()), pa.nulls(len(part), pa.int64()), pa.array([n for _, n in part], pa.int64())], names=["word", "gram", "n"])
+        for at in range(0, len(grams[0]), ROWS):
+            k, c = (x[at : at + ROWS] for x in grams)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(k), pa.binary()), pa.array(k.view(np.int64)), pa.array(c)], names=["word", "gram", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
@@ -121,12 +124,14 @@ def counted(documents: DataFrame) -> DataFrame:
             if held > HELD_GRAMS:
                 k, c = summed(keys, counts)
                 keys, counts, held = [k], [c], len(k)
-            if len(words) > HELD_WORDS or held > HELD_GRAMS // 2:
-                yield rows(words, summed(keys, counts))
+                if held > HELD_GRAMS * 2 // 3:
+                    yield from rows(Counter(), (k, c))
+                    keys, counts, held = [], [], 0
+            if len(words) > HELD_WORDS:
+                yield from rows(words, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
                 words.clear()
-                keys, counts, held = [], [], 0
         if words or keys:
-            yield rows(words, summed(keys, counts) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+            yield from rows(words, summed(keys, counts) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
 
     return documents.select("train", "text").mapInArrow(run, COUNTS).groupBy("word", "gram").agg(F.sum("n").alias("n"))
 
@@ -263,7 +268,7 @@ SCORES = "uid bigint, doc_id bigint, word binary, tf bigint, tokens bigint, byte
 _SCORES = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("word", pa.binary()), ("tf", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 
 
-def scored(documents: DataFrame, train: Column, top_words: int = 200_000, slice_rows: int = 1 << 22) -> DataFrame:
+def scored(documents: DataFrame, train: Column, top_words: int = 150_000, slice_rows: int = 1 << 22) -> DataFrame:
     """documents: doc_id, text. One row per document: doc_id, n_tokens, n_bytes, n_known, train_tokens, base_score, score."""
     spark = documents.sparkSession
     texts = documents.select(F.monotonically_increasing_id().alias("uid"), "doc_id", utf8().alias("text"))
