@@ -1,5 +1,7 @@
 """Excision: what goes, what that would take along, and what must not stay anywhere."""
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,7 +56,11 @@ def disclosures(selection: DataFrame, edges: DataFrame, rounds: int = 64) -> Dat
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.sparkSession.createDataFrame(df.collect(), df.schema)
+    """A checkpoint in the session's shared folder; a temporary one only where none is set, as in tests."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sedimenta-"))
+    return df.checkpoint()
 
 
 def plan(entries: DataFrame, root: str, selection: DataFrame) -> tuple[DataFrame, DataFrame]:
