@@ -40,6 +40,7 @@ from sedimenta.llm.common import persisted, utf8
 WORDS, NUM, DEN = 5, 3, 4
 RAW_BELOW = 3  # bands under this have a part for each shingle
 BROADCAST_ROWS = 500_000
+PREVIOUS = 4
 MEMORY_WORDS = 500_000
 _HASHES: dict[bytes, int] = {}
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -241,9 +242,12 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     found = components(links)
 
     # then every pair that is left
-    open_keys = persisted(still_open(found).join(facts, "rep"), "open")
+    # (a pair that also meets in one of the keys just before this one, in both classes' order, was asked there)
+    previous = Window.partitionBy("rep").orderBy("key").rowsBetween(-PREVIOUS, -1)
+    left = still_open(found).select("key", "rep", "component").withColumn("previous", F.collect_list("key").over(previous))
+    open_keys = persisted(left.join(facts, "rep"), "open")
     x, y = open_keys.alias("x"), open_keys.alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & may_link("x", "y"))
+    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & ~F.arrays_overlap("x.previous", "y.previous") & may_link("x", "y"))
     more = verified(documents, ordered(across.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")), tested), classes)
     if not more.isEmpty():
         found = components(links.unionByName(more))
