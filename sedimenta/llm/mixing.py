@@ -10,9 +10,11 @@ r / (most - r) = exp(mu_s + lambda_s size_i / mean size). Newton's iterations ru
 histogram (source, size, count), which is built once; each iteration writes its parameters, a row per source.
 
 Rounding: copies are floor(r), and the rest of the target goes to documents in the order of a keyed hash over their
-fraction, up to the last that fits. That last place is found by radix selection (three grouped histograms of 4096
-buckets per source), never by sorting a source in one task. A few further copies, each the best fit of what is left,
-close the gap. Every step is a function of ids and sizes alone, so reruns agree.
+fraction, up to the last that fits. That last place is found by radix selection (grouped histograms of 4096 buckets per
+source), never by sorting a source in one task. Documents that do not fit are passed over: the selection is repeated on
+what is left, over the documents no larger than it, until none fits; then likewise over further copies, up to `most`.
+So less than the smallest document that may still be taken is left, and that one is taken if it comes nearer. Places
+are functions of ids and sizes; only rows that share both are told apart by their uid, so reruns agree.
 
 Defined results: a null text has size 0; a null source is a source; a source without words has target 0; documents of
 size 0 are taken 0 words and rounded like others; repeated rows are documents of their own; an empty table gives no
@@ -21,13 +23,16 @@ row. Other columns are ignored, or kept by `mixed`.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedimenta.llm.common import WORD, persisted, text_or_empty
 
 WEIGHTS = (5, 2, 1)
-BUCKETS, ROUNDS, FITS = 4096, 3, 3
+BITS, ROUNDS, TIE_ROUNDS = 12, 3, 2
+BUCKETS = 1 << BITS
 
 
 def with_targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -85,6 +90,27 @@ def rates(most: float) -> tuple[Column, Column]:
     return rate, F.when(F.col("share") <= 0, F.lit(0.0)).when(F.col("share") >= most * (1 - 1e-9), F.lit(float(most))).otherwise(rate)
 
 
+def cuts(open_: DataFrame, left: DataFrame) -> DataFrame:
+    """source, cut, left: in each source the rows with place < cut fit together, and what they leave. open_: source, size, place."""
+    left = left.select("source", "left", F.lit(0).cast("bigint").alias("cut"), F.lit(True).alias("deeper"))
+    for k in reversed(range(ROUNDS + TIE_ROUNDS)):  # digits of the last place that fits, from the highest
+        left = persisted(left, "left")
+        if left.filter("deeper").isEmpty():
+            return left
+        at = open_.join(left.withColumnRenamed("source", "__s").drop("left").filter("deeper"), F.col("source").eqNullSafe(F.col("__s")))
+        digit = F.shiftright(F.col("place") - F.col("cut"), BITS * k)
+        sums = at.filter((F.col("place") >= F.col("cut")) & (digit < BUCKETS)).groupBy("source", digit.alias("digit")).agg(F.sum("size").alias("sum"), F.count("*").alias("n"))
+        running = sums.withColumn("upto", F.sum("sum").over(Window.partitionBy("source").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0))).withColumnRenamed("source", "__s")
+        both = left.join(running, F.col("source").eqNullSafe(F.col("__s")), "left")
+        over = F.min(F.when(F.col("upto") > F.col("left"), F.struct("digit", "n")))
+        taken = F.max(F.when(F.col("upto") <= F.col("left"), F.col("upto")))
+        left = both.groupBy("source").agg(F.first("cut").alias("cut0"), F.first("left").alias("left0"), F.first("deeper").alias("deeper0"), over.alias("over"), taken.alias("taken"))
+        # where every bucket fits, the cut lies past all of them; a bucket of one row need not be searched
+        cut = F.col("cut0") + F.when(F.col("deeper0"), F.coalesce("over.digit", F.lit(BUCKETS)) * F.lit(1 << BITS * k)).otherwise(F.lit(0))
+        left = left.select("source", (F.col("left0") - F.coalesce("taken", F.lit(0))).alias("left"), cut.cast("bigint").alias("cut"), (F.coalesce("over.n", F.lit(0)) > 1).alias("deeper"))
+    return persisted(left, "left")
+
+
 def with_copies(sized: DataFrame, key: str = "mix", weights: tuple[float, ...] = WEIGHTS, budget: float = 1.5, most: float = 2.0) -> DataFrame:
     """sized: uid (unique), doc_id, source, size. Adds source_size, target, rate, copies."""
     spread = F.pmod(F.xxhash64("uid"), F.lit(64)).cast("int")
@@ -101,28 +127,28 @@ def with_copies(sized: DataFrame, key: str = "mix", weights: tuple[float, ...] =
     rated = rated.withColumn("copies", whole.cast("int")).withColumn("order", F.when(part > 1e-9, F.least(F.floor(unit / (unit + part) * scale), F.lit(scale - 1)).cast("bigint")))
     rated = persisted(rated.select("uid", "doc_id", "source", "size", F.col("words").alias("source_size"), "target", "rate", "copies", "order"), "rated")
 
-    left = rated.groupBy("source").agg((F.max("target") - F.sum(F.col("size") * F.col("copies"))).alias("left")).withColumn("cut", F.lit(0).cast("bigint"))
-    for k in range(ROUNDS):  # digits of the last place that fits, from the highest
-        width = BUCKETS ** (ROUNDS - 1 - k)
+    chosen = rated.withColumn("topped", F.lit(False))
+    left = rated.groupBy("source").agg((F.max("target") - F.sum(F.col("size") * F.col("copies"))).alias("left"))
+    fresh, further = F.col("order").isNotNull() & ~F.col("topped"), (F.col("copies") < int(most)) & (F.col("size") > 0)
+    fits = F.col("size") <= F.col("left")
+    for turn in count():
         left = persisted(left, "left")
-        at = rated.filter("order IS NOT NULL").join(left.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")))
-        digit = F.floor((F.col("order") - F.col("cut")) / width).cast("bigint")
-        sums = at.filter((F.col("order") >= F.col("cut")) & (digit < BUCKETS)).groupBy("source", digit.alias("digit")).agg(F.sum("size").alias("sum"))
-        running = sums.withColumn("upto", F.sum("sum").over(Window.partitionBy("source").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0))).withColumnRenamed("source", "__s")
-        both = left.join(running, F.col("source").eqNullSafe(F.col("__s")), "left")
-        fits = F.col("upto") <= F.col("left")
-        first_over = F.min(F.when(~fits, F.col("digit")))
-        left = both.groupBy("source").agg(F.first("cut").alias("cut0"), F.first("left").alias("left0"), first_over.alias("over"), F.max(F.when(fits, F.col("upto"))).alias("taken"))
-        left = left.select("source", (F.col("left0") - F.coalesce("taken", F.lit(0))).alias("left"), (F.col("cut0") + F.coalesce("over", F.lit(BUCKETS)) * width).alias("cut"))
-        # where every bucket fits, the cut lies past all of them
-    left = persisted(left, "left")
-    chosen = rated.join(left.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).withColumn("copies", F.col("copies") + F.when(F.col("order") < F.col("cut"), 1).otherwise(0)).drop("__s", "cut", "left", "order")
-    for _ in range(FITS):
-        chosen = persisted(chosen, "chosen")
-        gap = chosen.groupBy("source").agg((F.max("target") - F.sum(F.col("size") * F.col("copies"))).alias("gap")).withColumnRenamed("source", "__s")
-        free = chosen.filter((F.col("copies") < int(most)) & (F.col("size") > 0)).join(gap, F.col("source").eqNullSafe(F.col("__s"))).filter(F.abs(F.col("gap") - F.col("size")) < F.abs("gap"))
-        best = free.groupBy("source").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("miss"), F.col("doc_id"), F.col("uid"))).alias("b")).select(F.col("b.uid").alias("uid"), F.lit(1).alias("more"))
-        chosen = chosen.join(best, "uid", "left").withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0))).drop("more")
+        at = chosen.join(left.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s").filter(fits)
+        turns = at.filter("size > 0").groupBy("source").agg(F.coalesce(F.max(fresh), F.lit(False)).alias("by_order"), F.max(fresh | further).alias("any")).filter("any")
+        turns = persisted(turns.select(F.col("source").alias("__s"), "by_order"), "turns")
+        if turns.isEmpty():
+            break
+        tie = F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(1 << BITS * TIE_ROUNDS))
+        place = F.coalesce("order", F.lit(scale - 1)) * F.lit(1 << BITS * TIE_ROUNDS) + tie
+        open_ = at.join(turns, F.col("source").eqNullSafe(F.col("__s"))).filter(F.when(F.col("by_order"), fresh).otherwise(further)).select("uid", "source", "size", place.alias("place"))
+        cut = cuts(open_, left)
+        more = open_.join(cut.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).filter("place < cut").select("uid", F.lit(1).alias("more"))
+        chosen = persisted(chosen.join(more, "uid", "left").withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0))).withColumn("topped", F.col("topped") | F.col("more").isNotNull()).drop("more"), "chosen")
+        left = cut.select("source", "left")
+    gap = left.select(F.col("source").alias("__s"), F.col("left").alias("gap"))
+    free = chosen.filter(further).join(gap, F.col("source").eqNullSafe(F.col("__s"))).filter(F.abs(F.col("gap") - F.col("size")) < F.abs("gap"))
+    best = free.groupBy("source").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("miss"), F.col("doc_id"), F.col("uid"))).alias("b")).select(F.col("b.uid").alias("uid"), F.lit(1).alias("more"))
+    chosen = persisted(chosen.join(best, "uid", "left").withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0))).drop("more", "topped", "order"), "chosen")
     return chosen
 
 

@@ -154,6 +154,25 @@ def test_mixing_meets_targets(spark):
         assert abs(took[s] - target[s]) <= min(0.05 * target[s] + 1, largest)
 
 
+def test_mixing_goes_past_what_does_not_fit(spark):
+    """One document holds a third of its source's words; in the last source all rows share an id and a size."""
+    from sedimenta.llm.mixing import with_copies
+
+    r, rows = random.Random(5), []
+    for s in range(8):
+        own = [r.randrange(50, 2001) for _ in range(300)]
+        rows += [(f"s{s}", size, True) for size in [*own, sum(own) // 2]]
+    rows += [("ties", 1000, False)] * 450
+    df = spark.createDataFrame([(i, i if named else None, s, size) for i, (s, size, named) in enumerate(rows)], "uid bigint, doc_id bigint, source string, size bigint")
+    out = with_copies(df, weights=(1.0,), budget=0.6).collect()
+    assert len(out) == len(rows)
+    for s in {x["source"] for x in out}:
+        own = [x for x in out if x["source"] == s]
+        left = own[0]["target"] - sum(x["size"] * x["copies"] for x in own)
+        assert all(0 <= x["copies"] <= 2 for x in own)
+        assert abs(left) <= min(x["size"] for x in own if x["copies"] < 2), (s, left)
+
+
 def test_tiff_codings():
     from sedimenta.llm import tiff
 
