@@ -1,7 +1,8 @@
 """Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text, compared window by window.
 
 Fitting (on the driver, on a bounded sample): at most `sample_rows` labelled rows of each label, the first in the order
-of a hash of their ids; whole texts, at most `sample_bytes` in all per label, the rest of that order being left out.
+of a hash of their ids; whole texts, at most `sample_bytes` in all per label. A text above that is passed over for the
+next; where those chosen do not fit together, the longest are left out. A label none of whose texts fits is an error.
  1. Near copies are told by a minimum hash and count once. Words that toxic texts hold significantly more often than
     ordinary ones (two-proportion z of 5 or more) mark toxic segments.
  2. Dictionaries: a base is trained by zstandard on ordinary texts; the toxic dictionary ends in the toxic segments, the
@@ -29,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import utf8
+from sedimenta.llm.common import persisted, utf8
 
 WINDOW, STEP, LEVEL, BASE = 4, 2, 3, 16384
 GAINS = (5, 7, 9)
@@ -139,24 +140,37 @@ def fitted(toxic: list[bytes], ordinary: list[bytes], z_least: float = 5.0, most
     return Model(base + tail, base + other, tuple(center), tuple(scale), tuple(weights), prior)
 
 
-def sample(labelled: DataFrame, label: int, rows: int, most_bytes: int) -> list[bytes]:
+def sample(labelled: DataFrame, label: int, rows: int) -> list[bytes]:
     chosen = labelled.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows)
-    total, texts = 0, []
-    for (text,) in chosen.select("text").collect():
-        total += len(text)
+    return [bytes(text) for (text,) in chosen.select("text").collect()]
+
+
+def shortest(lengths: list[tuple[int, int]], most_bytes: int) -> list[int]:
+    """The ids whose texts fit together, shortest first. lengths: id and length."""
+    total, ids = 0, []
+    for doc_id, length in sorted(lengths, key=lambda x: (x[1], x[0])):
+        total += length
         if total > most_bytes:
             break
-        texts.append(bytes(text))
-    return texts
+        ids.append(doc_id)
+    return ids
 
 
 def fit(documents: DataFrame, labels: DataFrame, train: Column, sample_rows: int = 4000, sample_bytes: int = 24 << 20) -> Model:
     """documents: doc_id, text. labels: doc_id, toxic. train: which ids may be learned from."""
     marked = labels.filter(F.col("toxic").isin(0, 1)).filter(train).select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("toxic")).distinct()
-    picked = [marked.filter(F.col("toxic") == k).orderBy(F.xxhash64("__id"), "__id").limit(sample_rows) for k in (1, 0)]
-    few = picked[0].unionByName(picked[1])  # at most 2 * sample_rows ids, so this side may be broadcast
-    labelled = documents.select("doc_id", utf8().alias("text")).join(F.broadcast(few), F.col("doc_id") == F.col("__id")).drop("__id")
-    return fitted(sample(labelled, 1, sample_rows, sample_bytes), sample(labelled, 0, sample_rows, sample_bytes))
+    lengths = documents.groupBy("doc_id").agg(F.sum(F.octet_length(utf8()).cast("bigint")).alias("length"))
+    sizes = persisted(marked.join(lengths, F.col("doc_id") == F.col("__id")).select("__id", "toxic", "length"), "lengths")
+    few = []
+    for label in (1, 0):
+        own = sizes.filter(F.col("toxic") == label)
+        picked = own.filter(F.col("length") <= sample_bytes).orderBy(F.xxhash64("__id"), "__id").limit(sample_rows).select("__id", "length").collect()
+        if not picked and not own.isEmpty():
+            raise ValueError(f"none of the texts labelled {label} fits into {sample_bytes} bytes")
+        few += [(i, label) for i in shortest([tuple(p) for p in picked], sample_bytes)]
+    chosen = documents.sparkSession.createDataFrame(few, "__id bigint, toxic int")  # at most 2 * sample_rows ids, so this side may be broadcast
+    labelled = documents.select("doc_id", utf8().alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).drop("__id")
+    return fitted(sample(labelled, 1, sample_rows), sample(labelled, 0, sample_rows))
 
 
 def scored(documents: DataFrame, model: Model) -> DataFrame:

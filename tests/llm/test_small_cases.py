@@ -97,6 +97,27 @@ def test_toxicity_finds_what_marks_it():
     assert all(score(t.encode()) > 0.5 for t in bad[150:]) and all(score(t.encode()) < 0.5 for t in plain[350:])
 
 
+def test_toxicity_passes_over_long_texts(spark):
+    """Texts above the byte budget, and some that together fill it, come first in the order and stop nothing."""
+    import random
+
+    from sedimenta.llm.toxicity import fit
+
+    r = random.Random(4)
+    order = [x[0] for x in spark.range(120).orderBy(F.xxhash64("id")).collect()]
+    rows = []
+    for k, i in enumerate(order):
+        bad = k % 2
+        words = ["dreadful" if bad and j % 7 == 3 else f"plain{r.randrange(500)}" for j in range(40)]
+        rows.append((i, " ".join(words) + (" much" * 12_000 if k < 2 else " much" * 5_000 if k < 6 else ""), bad))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model = fit(df, df, F.lit(True), sample_bytes=50_000)
+    score = model.scorer()
+    assert model.weights and all((score(t.encode()) > 0.5) == bool(bad) for _, t, bad in rows[6:])
+    with pytest.raises(ValueError):
+        fit(df, df, F.lit(True), sample_bytes=10)
+
+
 def test_packing(docs, none):
     import public_tokenizers
     from tokenizers import Tokenizer
