@@ -9,7 +9,8 @@ Surrogates are functions of a key and of the entity's normal form (case and sepa
 surrogate everywhere, in whatever format it is written; an address's domain and a person's names are replaced on their
 own, so that what is shared stays shared. Distinctness is checked over the whole corpus: the distinct normal forms are
 given their surrogates, and where two meet, or one is itself a normal form, all but one are tried again with the next
-attempt number, until none clash. Those few attempts go back to their documents by a join on doc_id; without any, texts
+attempt number, until none clash. What is compared and tried again is the unit drawn: a surname whatever the gender, a
+domain, then a whole address under its settled domain (from the eighth attempt a domain grows by letters). Those few attempts go back to their documents by a join on doc_id; without any, texts
 are rewritten where they are read, and no text is moved.
 
 Defined results: a null text stays null and has no entities; empty texts stay; rows that repeat are replaced alike; a
@@ -107,15 +108,21 @@ def other_name(part: str, female: bool, form: Column, digits: Column, attempt: C
     return F.when(form.rlike(r"\p{IsCyrillic}"), written("cyrillic")).otherwise(written("latin"))
 
 
-def surrogate_of(key: str, kind: Column, value: Column, attempt: Column) -> Column:
-    """The surrogate of one unit: kind is one of KINDS but person, or given_m, given_f, surname_m, surname_f."""
+def other_domain(key: str, domain: Column, attempt: Column) -> Column:
+    """The top level stays; every eight attempts, the rest gets a letter more."""
+    top = F.substring_index(domain, ".", -1)
+    below = F.substr(domain, F.lit(1), F.char_length(domain) - F.char_length(top))
+    below = F.concat(F.repeat(F.lit("x"), F.floor(F.least(attempt, F.lit(128)) / 8).cast("int")), below)
+    return F.concat(like(below, stream(key, F.lit("domain"), F.lower(domain), attempt)), top)
+
+
+def surrogate_of(key: str, kind: Column, value: Column, attempt: Column, domain_attempt: Column) -> Column:
+    """The surrogate of one unit: kind is one of KINDS but person, or domain, given_m, given_f, surname_m, surname_f."""
     form = normal(kind, value)
     digits = stream(key, F.regexp_replace(kind, "_[mf]$", ""), form, attempt)
     domain, local = F.substring_index(value, "@", -1), F.substring_index(value, "@", 1)
-    top = F.substring_index(domain, ".", -1)
-    below = F.substr(domain, F.lit(1), F.char_length(domain) - F.char_length(top))
-    other_domain = F.concat(like(below, stream(key, F.lit("domain"), F.lower(domain), F.lit(0))), top)
-    out = F.when(kind == "email", F.concat(like(local, digits), F.lit("@"), other_domain))
+    out = F.when(kind == "email", F.concat(like(local, digits), F.lit("@"), other_domain(key, domain, domain_attempt)))
+    out = out.when(kind == "domain", other_domain(key, value, attempt))
     out = out.when(kind.isin(*DIGITS), other_digits(value, digits))
     out = out.when(kind == "ip", F.array_join(F.transform(F.split(value, r"\."), lambda o, i: (byte_at(digits, i) % 254 + 1).cast("string")), "."))
     out = out.when(kind == "secret", like(value, digits, hexadecimal=True))
@@ -139,35 +146,63 @@ def found(text: Column) -> Column:
     return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
-def attempts(documents: DataFrame, key: str) -> DataFrame:
-    """(kind, form, attempt) of the entities whose first surrogate clashes; usually none."""
-    mentions = documents.select(F.explode(found(F.col("text"))).alias("value")).select(F.explode(units(F.col("value"))).alias("u")).select(F.col("u.kind").alias("kind"), normal(F.col("u.kind"), F.col("u.value")).alias("form"))
-    forms = persisted(mentions.distinct().withColumn("attempt", F.lit(0)), "forms")
+def domain_of(value: Column) -> Column:
+    return F.lower(F.substring_index(value, "@", -1))
+
+
+def mentioned(documents: DataFrame, *columns: str) -> DataFrame:
+    """The named columns with unit, kind and form of each thing drawn: the units, and the domains of addresses."""
+    own = documents.select(*columns, F.explode(found(F.col("text"))).alias("value")).select(*columns, F.explode(drawn_units(F.col("value"))).alias("u"))
+    return own.select(*columns, unit_of(F.col("u.kind")).alias("unit"), F.col("u.kind").alias("kind"), normal(F.col("u.kind"), F.col("u.value")).alias("form"))
+
+
+def drawn_units(value: Column) -> Column:
+    domain = F.array(F.struct(F.lit("domain").alias("kind"), domain_of(value).alias("value")))
+    return F.when(kind_of(value) == "email", F.concat(units(value), domain)).otherwise(units(value))
+
+
+def unit_of(kind: Column) -> Column:
+    """Surnames of both genders are one unit: they share their stream, their names and their attempt."""
+    return F.regexp_replace(kind, "^surname_[mf]$", "surname")
+
+
+def settled(forms: DataFrame, key: str) -> DataFrame:
+    """forms: unit, kind, form, domain_attempt. Adds attempt, so that no two forms of a unit meet and none is drawn itself."""
+    forms = forms.withColumn("attempt", F.lit(0))
     while True:
-        drawn = persisted(forms.withColumn("drawn", normal(F.col("kind"), surrogate_of(key, F.col("kind"), F.col("form"), F.col("attempt")))), "drawn")
-        meeting = drawn.groupBy("kind", "drawn").agg(F.min(F.struct("attempt", "form")).alias("stays"), F.count("*").alias("n"))
-        known = drawn.select("kind", F.col("form").alias("drawn"), F.lit(True).alias("known"))
-        clashing = meeting.join(known, ["kind", "drawn"], "left").filter("n > 1 OR known")
-        again = drawn.join(clashing, ["kind", "drawn"]).filter(F.col("known") | (F.col("form") != F.col("stays.form"))).select("kind", "form")
+        drawn = persisted(forms.withColumn("drawn", normal(F.col("kind"), surrogate_of(key, F.col("kind"), F.col("form"), F.col("attempt"), F.col("domain_attempt")))), "drawn")
+        meeting = drawn.groupBy("unit", "drawn").agg(F.min(F.struct("attempt", "form")).alias("stays"), F.min("form").alias("least"), F.max("form").alias("most"))
+        known = drawn.select("unit", F.col("form").alias("drawn"), F.lit(True).alias("known")).distinct()
+        clashing = meeting.join(known, ["unit", "drawn"], "left").filter("least <> most OR known")
+        again = drawn.join(clashing, ["unit", "drawn"]).filter(F.col("known") | (F.col("form") != F.col("stays.form"))).select("unit", "form")
         again = persisted(again.distinct().withColumn("again", F.lit(1)), "again")
         if again.isEmpty():
-            return forms.filter("attempt > 0")
-        forms = persisted(forms.join(again, ["kind", "form"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("again", F.lit(0))).drop("again"), "forms")
+            return forms
+        forms = persisted(forms.join(again, ["unit", "form"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("again", F.lit(0))).drop("again"), "forms")
+
+
+def attempts(documents: DataFrame, key: str) -> DataFrame:
+    """(unit, form, attempt) of what clashes at first; usually nothing. Addresses are drawn under their settled domains."""
+    forms = persisted(mentioned(documents).distinct(), "forms")
+    others = settled(forms.filter("kind <> 'email'").withColumn("domain_attempt", F.lit(0)), key)
+    domains = others.filter("kind = 'domain' AND attempt > 0").select(F.col("form").alias("__domain"), F.col("attempt").alias("domain_attempt"))
+    emails = forms.filter("kind = 'email'").join(domains, domain_of(F.col("form")) == F.col("__domain"), "left").drop("__domain")
+    emails = settled(persisted(emails.withColumn("domain_attempt", F.coalesce("domain_attempt", F.lit(0))), "emails"), key)
+    return persisted(others.unionByName(emails).filter("attempt > 0").select("unit", "form", "attempt").distinct(), "retried")
 
 
 def with_surrogates(documents: DataFrame, key: str) -> DataFrame:
     """All columns of documents, `text` with surrogates; adds n_entities and kinds (how often each kind stood in it)."""
     retried = attempts(documents.select("text"), key)
-    rows, of = documents, lambda u: F.lit(0)
+    rows, of = documents, lambda kind, value: F.lit(0)
     if not retried.isEmpty():
-        mentions = documents.select("doc_id", F.explode(found(F.col("text"))).alias("value")).select("doc_id", F.explode(units(F.col("value"))).alias("u"))
-        own = mentions.select("doc_id", F.col("u.kind").alias("kind"), normal(F.col("u.kind"), F.col("u.value")).alias("form")).distinct().join(retried, ["kind", "form"])
-        by_id = own.groupBy(F.col("doc_id").alias("__id")).agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\x1f", "kind", "form"), F.col("attempt")))).alias("__attempts"))
+        own = mentioned(documents, "doc_id").select("doc_id", "unit", "form").distinct().join(retried, ["unit", "form"])
+        by_id = own.groupBy(F.col("doc_id").alias("__id")).agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\x1f", "unit", "form"), F.col("attempt")))).alias("__attempts"))
         rows = documents.join(by_id, F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
-        of = lambda u: F.coalesce(F.try_element_at(F.col("__attempts"), F.concat_ws("\x1f", u["kind"], normal(u["kind"], u["value"]))), F.lit(0))
+        of = lambda kind, value: F.coalesce(F.try_element_at(F.col("__attempts"), F.concat_ws("\x1f", unit_of(kind), normal(kind, value))), F.lit(0))
 
     def replaced(value: Column) -> Column:
-        own = F.transform(units(value), lambda u: surrogate_of(key, u["kind"], u["value"], of(u)))
+        own = F.transform(units(value), lambda u: surrogate_of(key, u["kind"], u["value"], of(u["kind"], u["value"]), of(F.lit("domain"), domain_of(u["value"]))))
         return F.concat(F.regexp_extract(value, rf"^(?:(?:{TITLES})\.? )?", 0), F.array_join(own, " "))
 
     rows = rows.withColumn("__found", F.coalesce(found(F.col("text")), F.array().cast("array<string>")))

@@ -265,6 +265,23 @@ def test_surrogates_stay_distinct(spark):
     assert len(set(seen.values())) == len(names) and not {v.partition("@")[0] + "@x.example.org" for v in seen.values()} & {v for v in seen.values() if v.endswith("@x.example.org")}
 
 
+def test_surrogates_stay_distinct_across_genders_and_domains(spark):
+    from sedimenta.llm.surrogates import with_surrogates
+
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    surnames = [f"Q{letters[i // 676]}{letters[i // 26 % 26]}{letters[i % 26]}" for i in range(4000)]
+    texts = [(f"{title} {n}", n.lower()) for i, n in enumerate(surnames) for title in ("Mr", "Mrs")[i % 2 :: 1 if i % 8 == 0 else 2]]
+    domains = [f"{a}{b}.org" for a in letters[:6] for b in letters[:10]]
+    texts += [(f"{who}@{d}", d) for d in domains for who in ("info", "sales")]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id bigint, text string")
+    seen, back = {}, {}
+    for row in with_surrogates(df, "k").collect():
+        new = re.split("[ @]", row["text"])[1].lower()
+        old = texts[row["doc_id"]][1]
+        assert seen.setdefault(old, new) == new and back.setdefault(new, old) == old
+    assert len(seen) == 4060 and not set(seen) & set(back)
+
+
 def test_chat_parts(spark):
     from sedimenta.llm.chat import PART, format_chat, read_back
 
