@@ -1,10 +1,14 @@
 """Best-fit packing by hierarchical residuals.
 
 Documents are tokenized, cut only where they are longer than a sequence, and the pieces packed: each node packs its own
-pieces by best-fit decreasing; bins that are full, or that no small bin could still use, are emitted; the others become
-items of the next round, in which `fan_in` nodes meet in one, until one node is left. After a node has packed, at most
-one of its bins is half full or less (two would have been merged), so what the tree above can still improve is those
-small bins and the emptiest others: a node passes on its `carry` emptiest bins and emits the rest as they are.
+pieces by best-fit decreasing and emits the bins that are nearly full (at most 1 / `nearly` of a sequence is left); the
+underfull ones become items of the next round, in which `fan_in` nodes meet in one, until one node is left.
+
+A node also emits underfull bins beyond its `carry` emptiest, which costs no sequence: two bins can only be merged if
+one of them is half full or less, and after a node has packed at most one such bin is left (two would have been merged).
+So fan_in nodes that meet bring fan_in such bins at most, on any way to the root no more than fan_in times the rounds
+need a host, and if a bin fits anywhere it fits in the emptiest host. `carry` must be at least that product, which is
+checked; it bounds what meets in a task where nothing can be merged (say, all pieces just over half a sequence).
 
 Only lengths move between rounds: a bin is an item with a size, its members are found by joining the rounds' small
 tables. Tokenization remembers the ids of words (white space always ends a word, so the words of a text can be encoded
@@ -146,10 +150,10 @@ def best_fit(sizes: list[int], capacity: int) -> list[tuple[int, int]]:
 ROUND = "item bigint, bin bigint, offset bigint, size bigint, done boolean"
 
 
-def pack(items: DataFrame, capacity: int = 2048, node_items: int = 100_000, fan_in: int = 8, carry: int = 4096) -> DataFrame:
+def pack(items: DataFrame, capacity: int = 2048, node_items: int = 100_000, fan_in: int = 8, carry: int = 4096, nearly: int = 64) -> DataFrame:
     """items: item (unique), size (1 to capacity). Returns item, sequence_id, offset."""
 
-    def node(level: int):
+    def node(root: bool):
         def run(key: tuple, own: pa.Table) -> pa.Table:
             own = own.sort_by([("size", "descending"), ("item", "ascending")])
             ids, sizes = own["item"].to_pylist(), own["size"].to_pylist()
@@ -159,7 +163,8 @@ def pack(items: DataFrame, capacity: int = 2048, node_items: int = 100_000, fan_
             for i, (b, _) in enumerate(places):
                 totals[b] = totals.get(b, 0) + sizes[i]
                 first.setdefault(b, ids[i])  # a bin is named by its largest item, so names stay unique
-            passed = set() if level < 0 else {b for b in sorted(totals, key=lambda b: (totals[b], first[b]))[:carry] if totals[b] < capacity}
+            underfull = [] if root else [b for b, n in totals.items() if (capacity - n) * nearly > capacity]
+            passed = set(sorted(underfull, key=lambda b: (totals[b], first[b]))[:carry])
             return pa.table(
                 {"item": ids, "bin": [first[b] for b, _ in places], "offset": [o for _, o in places], "size": [totals[b] for b, _ in places], "done": [b not in passed for b, _ in places]},
                 schema=pa.schema([("item", pa.int64()), ("bin", pa.int64()), ("offset", pa.int64()), ("size", pa.int64()), ("done", pa.bool_())]),
@@ -169,9 +174,11 @@ def pack(items: DataFrame, capacity: int = 2048, node_items: int = 100_000, fan_
 
     items = items.select("item", "size")
     nodes = max(1, -(-items.count() // node_items))
+    if carry < fan_in * nodes.bit_length():  # at least as many as there are rounds
+        raise ValueError(f"carry must be at least {fan_in * nodes.bit_length()}")
     waiting, rounds = items.withColumn("node", F.pmod(F.xxhash64("item"), F.lit(nodes))), []
     while True:
-        packed = persisted(waiting.groupBy("node").applyInArrow(node(0 if nodes > 1 else -1), ROUND), "packed")
+        packed = persisted(waiting.groupBy("node").applyInArrow(node(nodes == 1), ROUND), "packed")
         rounds.append(packed)
         if nodes == 1:
             break
