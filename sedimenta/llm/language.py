@@ -2,14 +2,16 @@
 
 For a page, the posterior over languages multiplies four kinds of evidence:
  * text: a multinomial over hashed byte trigrams of the visible text, trained on labelled documents by summed counts
-   (BUCKETS numbers per language, at most MOST_LANGUAGES languages, so the broadcast model is at most 64 MB), tempered
-   so that a long text counts like `effective` trigrams, which are not independent;
+   (BUCKETS numbers per language, so the broadcast model is at most 32 MB), tempered so that a long text counts like
+   `effective` trigrams, which are not independent. The MOST_LANGUAGES - 1 languages of the most documents have a model
+   each; if there are more, all others are one class, named OTHERS, trained on all their documents;
  * the language that the markup declares, and a language code that begins the address's path, each through the
    probability of that declaration given a language, counted over all pages;
  * the host, through a prior that is smoothed hierarchically: all pages, then the address suffix, then the host.
 Counts are soft (each page adds its text posterior) and come from grouped aggregations that combine before they shuffle;
-a page's own share is taken out of its host's before the host speaks on the page. A hot host is one row of the grouped
-side; where it meets its pages the join is salted.
+a page's own share is taken out of its host's, its suffix's and its codes' counts before they speak on the page, so no
+page confirms itself. A hot host, suffix or code is one row of the grouped side; where it meets its pages the join is
+salted.
 
 Defined results: null html is empty text; an empty text is no evidence; a null or odd url has the host and suffix "";
 repeated rows are pages of their own; without labelled documents language is null and probability 0. An empty table
@@ -23,13 +25,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.llm.common import persisted, utf8
 
 BUCKETS, MOST_LANGUAGES, SALTS = 1 << 15, 256, 16
-HIDDEN = re.compile(rb"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>|&[#\w]+;")
+OTHERS = "und"
+UNSEEN = re.compile(rb"(script|style)\b")
+CLOSERS = {name: re.compile(rb"</" + name + rb"\s*>") for name in (b"script", b"style")}
+ENTITY = re.compile(rb"&[#\w]+;")
 
 
 def buckets(text: bytes) -> np.ndarray:
@@ -41,7 +46,41 @@ def buckets(text: bytes) -> np.ndarray:
 
 
 def visible(html: bytes) -> bytes:
-    return HIDDEN.sub(b" ", html)
+    """The text outside of comments, scripts, styles, tags and entities, each of which becomes a space.
+
+    One pass: a closer that is not found is not sought again, as none stands further on either.
+    """
+    low, out, at = html.lower(), [], 0
+    absent: set[bytes] = set()
+    while (start := html.find(b"<", at)) >= 0:
+        out.append(html[at:start])
+        end = -1
+        if low.startswith(b"<!--", start) and b"-->" not in absent:
+            end = html.find(b"-->", start + 4)
+            end = end + 3 if end >= 0 else absent.add(b"-->") or -1
+        elif (m := UNSEEN.match(low, start + 1)) and m[1] not in absent:
+            closer = CLOSERS[m[1]].search(low, m.end())
+            end = closer.end() if closer else absent.add(m[1]) or -1
+        if end < 0 and b">" not in absent:
+            end = html.find(b">", start)
+            end = end + 1 if end >= 0 else absent.add(b">") or -1
+        if end < 0:  # a bracket that nothing closes is text
+            out.append(b"<")
+            end = start + 1
+        else:
+            out.append(b" ")
+        at = end
+    out.append(html[at:])
+    return ENTITY.sub(b" ", b"".join(out))
+
+
+def labelled(documents: DataFrame) -> DataFrame:
+    """documents: lang, text, of those with a lang; languages past the MOST_LANGUAGES - 1 of the most documents are OTHERS."""
+    known = documents.filter("lang IS NOT NULL").select("lang", "text")
+    most = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(MOST_LANGUAGES + 1).collect()
+    if len(most) <= MOST_LANGUAGES:
+        return known
+    return known.withColumn("lang", F.when(F.col("lang").isin([r["lang"] for r in most[: MOST_LANGUAGES - 1]]), F.col("lang")).otherwise(F.lit(OTHERS)))
 
 
 def trigram_counts(documents: DataFrame) -> DataFrame:
@@ -59,16 +98,13 @@ def trigram_counts(documents: DataFrame) -> DataFrame:
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(own[at])], names=["lang", "bucket", "n"])
 
-    labelled = documents.filter("lang IS NOT NULL").select("lang", utf8().alias("text"))
-    return labelled.mapInArrow(run, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return labelled(documents).select("lang", utf8().alias("text")).mapInArrow(run, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 def text_model(documents: DataFrame) -> tuple[list[str], np.ndarray]:
     """(languages in order, log probability of each bucket in each)."""
     rows = trigram_counts(documents).collect()  # at most MOST_LANGUAGES * BUCKETS rows
     languages = sorted({r["lang"] for r in rows})
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     counts = np.full((len(languages), BUCKETS), 0.5, np.float32)
     for r in rows:
         counts[languages.index(r["lang"]), r["bucket"]] += r["n"]
@@ -105,10 +141,6 @@ def soft_sums(rows: DataFrame, by: str, n: int, name: str) -> DataFrame:
     return rows.groupBy(by).agg(sums.alias(name))
 
 
-def total(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-
-
 def languages_of(pages: DataFrame, documents: DataFrame, effective: int = 60, host_weight: float = 4.0, suffix_weight: float = 20.0, code_weight: float = 10.0) -> DataFrame:
     """page_id, language, probability, text_language, declared, hint, suffix, host."""
     languages, logs = text_model(documents)
@@ -116,34 +148,46 @@ def languages_of(pages: DataFrame, documents: DataFrame, effective: int = 60, ho
         none = F.lit(None).cast("string")
         return pages.select("page_id", none.alias("language"), F.lit(0.0).alias("probability"), *(none.alias(c) for c in ("text_language", "declared", "hint", "suffix", "host")))
     n = len(languages)
-    names = F.array(*map(F.lit, languages))
     rows = persisted(evidence(pages, languages, logs, effective), "evidence")
     overall = rows.agg(*(F.coalesce(F.sum(F.get("soft", F.lit(i))), F.lit(0.0)) for i in range(n))).first()
     all_pages = sum(overall)
-    base = F.array(*(F.lit((s + 1) / (all_pages + n)) for s in overall))
-
-    suffixes = soft_sums(rows, "suffix", n, "s").select("suffix", F.zip_with("s", base, lambda s, p: (s + suffix_weight * p) / (total(F.col("s")) + suffix_weight)).alias("suffix_prior"))
-    hosts = soft_sums(rows, "host", n, "host_sum")
-
-    def code_table(column: str) -> DataFrame:
-        """log P(code | language): the code's soft counts, smoothed towards a speaker who names their own language half of the time."""
-        sums = soft_sums(rows.filter(F.col(column) != ""), column, n, "s")
-        own = lambda i: F.when(F.element_at(names, i + 1) == F.col(column), F.lit(0.5)).otherwise(F.lit(0.5 / (n + 1)))
-        overall_of = F.array(*(F.lit(float(s)) for s in overall))
-        return sums.select(F.col(column), F.transform("s", lambda s, i: F.log((s + code_weight * own(i)) / (F.get(overall_of, i) + code_weight))).alias(f"{column}_log"))
-
-    salted = hosts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = rows.withColumn("salt", F.pmod("uid", F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"]).join(suffixes, "suffix")
-    for column in ("declared", "hint"):
-        joined = joined.join(code_table(column), column, "left")
-    others = F.zip_with("host_sum", "soft", lambda h, s: F.greatest(h - s, F.lit(0.0)))
-    prior = F.zip_with(F.col("others"), F.col("suffix_prior"), lambda h, p: F.log((h + host_weight * p) / (total(F.col("others")) + host_weight)))
-    added = F.col("text")
-    for more in (F.col("prior"), F.col("declared_log"), F.col("hint_log")):
-        added = F.when(more.isNull(), added).otherwise(F.zip_with(added, more, lambda a, b: a + b))
-    logs_of = joined.withColumn("others", others).withColumn("prior", prior).withColumn("all", added)
-    best = F.array_max("all")
-    mass = F.aggregate("all", F.lit(0.0), lambda s, x: s + F.exp(x - best))
-    return logs_of.select(
-        "page_id", F.element_at(names, F.array_position("all", best).cast("int")).alias("language"), (1 / mass).alias("probability"), F.element_at(names, F.array_position("text", F.array_max("text")).cast("int")).alias("text_language"), "declared", "hint", "suffix", "host"
-    )
+
+    def met(joined: DataFrame, by: str) -> DataFrame:
+        """joined with `by`_sum, the soft counts of its value in column `by` over all pages; salted, as a value may be hot."""
+        sums = soft_sums(rows, by, n, f"{by}_sum").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return joined.join(sums, [by, "salt"])
+
+    joined = rows.withColumn("salt", F.pmod("uid", F.lit(SALTS)).cast("int"))
+    for by in ("host", "suffix", "declared", "hint"):
+        joined = met(joined, by)
+
+    prior = np.array([(s + 1) / (all_pages + n) for s in overall])
+    overall_of, own_code = np.array(overall), {name: i for i, name in enumerate(languages)}
+
+    def fused(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            array = lambda name: column[name].flatten().to_numpy().reshape(-1, n)  # noqa: B023, E731
+            soft, text = array("soft"), array("text")
+            others = lambda by: np.maximum(array(f"{by}_sum") - soft, 0.0)  # noqa: B023, E731
+            smoothed = lambda counts, towards, weight: (counts + weight * towards) / (counts.sum(1, keepdims=True) + weight)
+            logs = text + np.log(smoothed(others("host"), smoothed(others("suffix"), prior, suffix_weight), host_weight))
+            for by in ("declared", "hint"):
+                # P(code | language), smoothed towards a speaker who names their own language half of the time
+                codes = column[by].to_pylist()
+                own = np.full(soft.shape, 0.5 / (n + 1))
+                for row, code in enumerate(codes):
+                    if code in own_code:
+                        own[row, own_code[code]] = 0.5
+                given = np.log((others(by) + code_weight * own) / (np.maximum(overall_of - soft, 0.0) + code_weight))
+                logs += np.where(np.array([[bool(code)] for code in codes]).reshape(-1, 1), given, 0.0)
+            best = logs.argmax(1)
+            probability = 1 / np.exp(logs - logs.max(1, keepdims=True)).sum(1)
+            name = lambda at: pa.array([languages[i] for i in at.tolist()], pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [column["page_id"], name(best), pa.array(probability), name(text.argmax(1)), *(column[c] for c in ("declared", "hint", "suffix", "host"))],
+                names=["page_id", "language", "probability", "text_language", "declared", "hint", "suffix", "host"],
+            )
+
+    out = "page_id bigint, language string, probability double, text_language string, declared string, hint string, suffix string, host string"
+    return joined.drop("salt", "uid").mapInArrow(fused, out)
