@@ -33,15 +33,16 @@ def shared_dir(spark: SparkSession) -> str:
 _SCOPES: list[list[str]] = []
 
 
-def persisted(df: DataFrame, name: str) -> DataFrame:
+def persisted(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
     """Cuts the lineage: writes df as a Parquet table to the shared folder and reads it back.
 
-    A lost executor then costs the tasks it ran, never the plan before this table.
+    A lost executor then costs the tasks it ran, never the plan before this table. With `stays`, a scope around does not
+    delete it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/sedimenta/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    if _SCOPES:
+    if _SCOPES and not stays:
         _SCOPES[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import persisted, utf8
+from sedimenta.llm.common import persisted, text_or_empty, utf8
 
 WORDS, NUM, DEN = 5, 3, 4
 RAW_BELOW = 3  # bands under this have a part for each shingle
@@ -111,10 +111,15 @@ def keys_of(s: np.ndarray, j: int, differ: int, raw: bool) -> tuple[np.ndarray,
     return keys[: differ + common_of(j, raw)], len(keys) - differ
 
 
-PROFILE = "uid bigint, doc_id bigint, n bigint, sig_a bigint, sig_b bigint, sketch array<bigint>, bands array<struct<band:int,t:int,keys:array<bigint>>>"
+PROFILE = "uid bigint, doc_id bigint, text_hash bigint, n bigint, sig_a bigint, sig_b bigint, sketch array<bigint>, bands array<struct<band:int,t:int,keys:array<bigint>>>"
 _BANDS = pa.list_(pa.struct([("band", pa.int32()), ("t", pa.int32()), ("keys", pa.list_(pa.int64()))]))
 
 
+def text_hash() -> Column:
+    """With doc_id, names a row's document, as ids may repeat with other texts."""
+    return F.xxhash64(text_or_empty())
+
+
 def profiles(documents: DataFrame, raw_bands: frozenset[int]) -> DataFrame:
     """A row per document; only the first of equal sets in a task has keys."""
 
@@ -122,7 +127,7 @@ def profiles(documents: DataFrame, raw_bands: frozenset[int]) -> DataFrame:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             rows = []
-            for text in batch.column(2):
+            for text in batch.column(3):
                 s = shingles(text.as_py())
                 sig = signature(s)
                 own = None
@@ -134,9 +139,9 @@ def profiles(documents: DataFrame, raw_bands: frozenset[int]) -> DataFrame:
                         own.append({"band": j, "t": t, "keys": keys.view(np.int64)})
                 rows.append((len(s), *sig, bit_sketch(s), own))
             columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), _BANDS))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["uid", "doc_id", "n", "sig_a", "sig_b", "sketch", "bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["uid", "doc_id", "text_hash", "n", "sig_a", "sig_b", "sketch", "bands"])
 
-    return documents.select(F.monotonically_increasing_id().alias("uid"), "doc_id", utf8().alias("text")).mapInArrow(run, PROFILE)
+    return documents.select(F.monotonically_increasing_id().alias("uid"), "doc_id", text_hash().alias("text_hash"), utf8().alias("text")).mapInArrow(run, PROFILE)
 
 
 def sets_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -192,7 +197,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
-    """documents: doc_id, text. One row per document: doc_id, n_shingles, class_id, component_id."""
+    """documents: doc_id, text. One row per document: doc_id, text_hash, n_shingles, class_id, component_id, stays (true for one class of each component)."""
     raw: frozenset[int] = frozenset()
     while True:
         own = persisted(profiles(documents, raw), "profiles")
@@ -253,10 +258,12 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         found = components(links.unionByName(more))
 
     named = classes.join(found, "rep", "left").withColumn("component", label)
-    least_doc = named.groupBy("component").agg(F.min("min_doc").alias("component_id"))
-    named = persisted(named.join(least_doc, "component").select("sig_a", "sig_b", "n", F.col("min_doc").alias("class_id"), "component_id"), "named")
-    rows = own.select("uid", "doc_id", "n", "sig_a", "sig_b").withColumn("salt", F.pmod("uid", F.lit(16)).cast("int"))
+    # of a component, the class with the least id stays; of classes that share that id, the first
+    least_doc = named.groupBy("component").agg(F.min("min_doc").alias("component_id"), F.min_by("rep", F.struct(F.coalesce("min_doc", F.lit(2**63 - 1)), "rep")).alias("staying"))
+    named = persisted(named.join(least_doc, "component").select("sig_a", "sig_b", "n", F.col("min_doc").alias("class_id"), "component_id", (F.col("rep") == F.col("staying")).alias("class_stays")), "named")
+    rows = own.select("uid", "doc_id", "text_hash", "n", "sig_a", "sig_b").withColumn("salt", F.pmod("uid", F.lit(16)).cast("int"))
     salted = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
     out = rows.join(salted, ["sig_a", "sig_b", "n", "salt"], "left")
     alone = lambda c: F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col(c)).alias(c)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), alone("class_id"), alone("component_id"))
+    stays = F.when(F.col("n") == 0, F.lit(True)).otherwise(F.col("class_stays") & F.col("doc_id").eqNullSafe(F.col("class_id")))
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), alone("class_id"), alone("component_id"), stays.alias("stays"))
