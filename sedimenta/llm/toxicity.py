@@ -3,11 +3,13 @@
 Fitting (on the driver, on a bounded sample): at most `sample_rows` labelled rows of each label, the first in the order
 of a hash of their ids; whole texts, at most `sample_bytes` in all per label. A text above that is passed over for the
 next; where those chosen do not fit together, the longest are left out. A label none of whose texts fits is an error.
- 1. Near copies are told by a minimum hash and count once. Words that toxic texts hold significantly more often than
-    ordinary ones (two-proportion z of 5 or more) mark toxic segments.
+ 1. Near copies are told by a minimum hash and count once. Segments are words that toxic texts hold significantly more
+    often than ordinary ones (two-proportion z of `z_least` or more); the strongest `most_segments`, of at most
+    `segment_bytes` each, are used.
  2. Dictionaries: a base is trained by zstandard on ordinary texts; the toxic dictionary ends in the toxic segments, the
     ordinary one in as many bytes of the most frequent ordinary words. So a window is shorter under the toxic one by
-    what it shares with toxic text, and other chance matches cancel.
+    what it shares with toxic text, and other chance matches cancel. This departs from dictionaries that are both trained:
+    the trainer cuts segments of a fixed length by frequency and loses the marks of toxic text (README has the figures).
  3. Windows of 4 words, every 2 words, are compressed with both; a text is described by its largest gains and by the
     numbers and shares of windows that gain at least 5, 7 and 9 bytes. A logistic regression over the sample calibrates
     these thresholds into a probability.
@@ -34,7 +36,6 @@ from sedimenta.llm.common import persisted, utf8
 
 WINDOW, STEP, LEVEL, BASE = 4, 2, 3, 16384
 GAINS = (5, 7, 9)
-LONG = 1 << 12
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -97,13 +98,13 @@ def without_copies(texts: list[bytes]) -> list[list[bytes]]:
     return list(found.values())
 
 
-def fitted(toxic: list[bytes], ordinary: list[bytes], z_least: float = 5.0, most_segments: int = 400) -> Model:
+def fitted(toxic: list[bytes], ordinary: list[bytes], z_least: float = 5.0, most_segments: int = 400, segment_bytes: int = 4096) -> Model:
     prior = len(toxic) / max(1, len(toxic) + len(ordinary))
     if not toxic or not ordinary:
         return Model(b"", b"", (), (), (), prior)
     one, zero = without_copies(toxic), without_copies(ordinary)
-    df1 = Counter(w for words in one for w in set(words) if len(w) <= LONG)
-    df0 = Counter(w for words in zero for w in set(words) if len(w) <= LONG)
+    df1 = Counter(w for words in one for w in set(words) if len(w) <= segment_bytes)
+    df0 = Counter(w for words in zero for w in set(words) if len(w) <= segment_bytes)
     n1, n0 = len(one), len(zero)
 
     def z(word: bytes) -> float:
