@@ -11,23 +11,19 @@ from pyspark.sql import functions as F
 SF = "/root/testdata/sf0.001"
 
 
-def test_context_tree_against_a_plain_tree(spark):
-    """Recursive CTW over dictionaries, on a corpus small enough for it."""
-    from sedimenta.llm.context_tree import DEPTH, canonical, scored
-
-    texts = ["abracadabra abra", "abba abra cadabra", "banana bandana", "aab"]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
-    got = {r["doc_id"]: r["score"] for r in scored(df, F.col("doc_id") != 3).collect()}
+def plain_tree(training, texts):
+    """log10 probability of each text by recursive context-tree weighting over dictionaries."""
+    from sedimenta.llm.context_tree import DEPTH, END
 
     def steps(text):
-        data = b"\n" * DEPTH + canonical(text.encode())[1]
+        data = END * DEPTH + text.encode().lower() + END
         for i in range(DEPTH, len(data)):
             context = data[i - DEPTH : i][::-1]
             for bit in range(8):
                 yield context, (1 << bit) | (data[i] >> (8 - bit)), data[i] >> (7 - bit) & 1
 
     counts, children = {}, {}
-    for t in texts[:3]:
+    for t in training:
         for context, node, bit in steps(t):
             for d in range(DEPTH + 1):
                 counts.setdefault((context[:d], node), [0, 0])[bit] += 1
@@ -38,6 +34,8 @@ def test_context_tree_against_a_plain_tree(spark):
         return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
 
     def log_w(key):
+        if key not in counts:
+            return 0.0
         estimate = log_kt(*counts[key])
         if len(key[0]) == DEPTH:
             return estimate
@@ -46,30 +44,52 @@ def test_context_tree_against_a_plain_tree(spark):
 
     def probability(context, node, bit, d=0):
         key = (context[:d], node)
-        if key not in counts:
-            return None
-        own = (counts[key][bit] + 0.5) / (sum(counts[key]) + 1)
-        deeper = probability(context, node, bit, d + 1) if d < DEPTH else None
-        if deeper is None:
+        a_b = counts.get(key, [0, 0])
+        own = (a_b[bit] + 0.5) / (sum(a_b) + 1)
+        if d == DEPTH:
             return own
-        stop = math.exp(log_kt(*counts[key]) - math.log(2) - log_w(key))
-        return stop * own + (1 - stop) * deeper
+        stop = math.exp(log_kt(*a_b) - math.log(2) - log_w(key))
+        return stop * own + (1 - stop) * probability(context, node, bit, d + 1)
+
+    return [sum(math.log10(probability(*s)) for s in steps(t)) for t in texts]
 
-    for i, t in enumerate(texts):
-        expected = sum(math.log10(p if (p := probability(*s)) is not None else 0.5) for s in steps(t))
+
+@pytest.mark.parametrize("hot", [1 << 16, 3])
+def test_context_tree_against_a_plain_tree(spark, monkeypatch, hot):
+    """Cut at contexts of two bytes, and at three where they hold more than three counts; runs of few counts."""
+    from sedimenta.llm import context_tree
+
+    texts = ["abracadabra abra", "Abba  abra\ncadabra", "banana bandana ", "aab", "", "zzz\t", "abra abra abra abra abra"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    split = context_tree.probabilities
+    monkeypatch.setattr(context_tree, "probabilities", lambda grams: split(grams, hot))
+    monkeypatch.setattr(context_tree, "RUN", 8)
+    got = {r["doc_id"]: r["score"] for r in context_tree.scored(df, F.col("doc_id") < 3, top_grams=20).collect()}
+    for i, expected in enumerate(plain_tree(texts[:3], texts)):
         assert got[i] == pytest.approx(expected, rel=1e-5)
 
 
-def test_context_tree_slices_agree(spark):
+def test_context_tree_base_by_plain_counts(spark):
+    """n_tokens, n_known, train_tokens and base_score from plain counts of words, also with few words and grams looked up."""
+    from collections import Counter
+
     from sedimenta.llm.common import table
     from sedimenta.llm.context_tree import scored
 
-    docs = table(spark, SF, "documents").filter("doc_id < 40")
-    one = {r["doc_id"]: (r["score"], r["base_score"], r["n_known"]) for r in scored(docs, F.col("doc_id") % 7 != 2).collect()}
-    many = {r["doc_id"]: (r["score"], r["base_score"], r["n_known"]) for r in scored(docs, F.col("doc_id") % 7 != 2, top_words=50, slice_rows=20_000).collect()}
-    assert one.keys() == many.keys()
-    for k, v in one.items():
-        assert many[k] == pytest.approx(v, rel=1e-6)
+    docs = table(spark, SF, "documents").filter("doc_id < 60")
+    texts = {r["doc_id"]: (r["text"] or "").encode().lower().split() + [b""] for r in docs.collect()}
+    counts = Counter(w for i, own in texts.items() if i % 7 != 2 for w in own)
+    total, distinct = sum(counts.values()), len(counts)
+    results = []
+    for bounds in ({}, {"top_words": 50, "top_grams": 2000}):
+        rows = scored(docs, F.col("doc_id") % 7 != 2, **bounds).collect()
+        assert len(rows) == len(texts)
+        for r in rows:
+            own = texts[r["doc_id"]]
+            assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(own), sum(counts[w] > 0 for w in own), total)
+            assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 1) / (total + distinct + 1)) for w in own), rel=1e-9)
+        results.append({r["doc_id"]: r["score"] for r in rows})
+    assert results[0] == pytest.approx(results[1], rel=1e-6)
 
 
 def sets(rows):

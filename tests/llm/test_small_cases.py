@@ -37,7 +37,7 @@ def test_context_tree(docs, none):
     rows = scored(docs, F.lit(True)).collect()
     assert len(rows) == len(ROWS) and all(r["score"] < 0 for r in rows)
     empty = [r for r in rows if r["doc_id"] in (3, 4, 7)]
-    assert {(r["n_tokens"], r["n_known"]) for r in empty} == {(1, 1)} and len({r["score"] for r in empty}) == 1
+    assert {(r["n_tokens"], r["n_known"]) for r in empty} == {(1, 1)} and len({(r["n_bytes"], r["score"]) for r in empty}) == len({r["n_bytes"] for r in empty}) == 2
     untrained = scored(docs, F.lit(False)).collect()
     assert all(abs(r["score"] + 8 * r["n_bytes"] * 0.30102999566) < 1e-3 * r["n_bytes"] and r["n_known"] == 0 for r in untrained)
     assert scored(none, F.lit(True)).count() == 0
