@@ -90,11 +90,11 @@ def described(gains: np.ndarray) -> np.ndarray:
     return np.concatenate(([top[0], top.mean()], np.log1p(above), np.sqrt(above / n), [np.log(n), gains.mean()]))
 
 
-def without_copies(texts: list[bytes]) -> list[list[bytes]]:
-    found: dict[int, list[bytes]] = {}
+def without_copies(texts: list[bytes]) -> list[bytes]:
+    found: dict[int, bytes] = {}
     for text in texts:
         words = words_of(text)
-        found.setdefault(min(zlib.crc32(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))), words)
+        found.setdefault(min(zlib.crc32(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))), text)
     return list(found.values())
 
 
@@ -103,8 +103,8 @@ def fitted(toxic: list[bytes], ordinary: list[bytes], z_least: float = 5.0, most
     if not toxic or not ordinary:
         return Model(b"", b"", (), (), (), prior)
     one, zero = without_copies(toxic), without_copies(ordinary)
-    df1 = Counter(w for words in one for w in set(words) if len(w) <= segment_bytes)
-    df0 = Counter(w for words in zero for w in set(words) if len(w) <= segment_bytes)
+    df1 = Counter(w for text in one for w in set(words_of(text)) if len(w) <= segment_bytes)
+    df0 = Counter(w for text in zero for w in set(words_of(text)) if len(w) <= segment_bytes)
     n1, n0 = len(one), len(zero)
 
     def z(word: bytes) -> float:
@@ -121,7 +121,7 @@ def fitted(toxic: list[bytes], ordinary: list[bytes], z_least: float = 5.0, most
         if len(other) >= len(tail):
             break
         other = b" " + word + other
-    samples = [b" " + b" ".join(w) + b" " for w in zero]
+    samples = [b" " + b" ".join(words_of(text)) + b" " for text in zero]
     try:
         base = zstandard.train_dictionary(BASE + 512, samples).as_bytes()[-BASE:]
     except zstandard.ZstdError:  # too few or too short texts to train on: their own bytes serve
