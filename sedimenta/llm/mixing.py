@@ -3,11 +3,13 @@
 Targets: sources, ordered by code point with null last, weigh 5, 2, 1, 5, 2, 1, ... and share `budget` times all words;
 none may exceed `most` times its own words, and what is cut off is shared again by weight until none is above.
 
-Rates: each document i of source s gets a rate r_i in [0, most] that is nearest in entropy to the uniform one under two
-constraints per source, sum r_i size_i = target and sum r_i = n target / size (so that the mix does not turn towards
-short documents). The convex dual has two unknowns per source, and its solution is an exponential tilt of the odds,
-r / (most - r) = exp(mu_s + lambda_s size_i / mean size). Newton's iterations run as grouped aggregations over the
-histogram (source, size, count), which is built once; each iteration writes its parameters, a row per source.
+Rates: each document i of source s gets a rate r_i in [0, most] that is nearest in entropy to the base rate most / 2 under
+the source's token constraint, sum r_i size_i = target. The convex dual has one unknown per source, and its solution is
+an exponential tilt of the odds, r / (most - r) = exp(lambda_s size_i / mean size): where more is wanted than the base
+gives, long documents are repeated more, where less is wanted, fewer of them are kept. Newton's iterations run as
+grouped aggregations over the histogram (source, size, count), which is built once; each iteration writes its
+parameters, a row per source. Moments are summed as whole multiples of 2**-20, so their sums, and with them the rates,
+do not depend on the order in which rows arrive.
 
 Rounding: copies are floor(r), and the rest of the target goes to documents in the order of a keyed hash over their
 fraction, up to the last that fits. That last place is found by radix selection (grouped histograms of 4096 buckets per
@@ -35,10 +37,19 @@ BITS, ROUNDS, TIE_ROUNDS = 12, 3, 2
 BUCKETS = 1 << BITS
 
 
+def ranked(sources: DataFrame) -> DataFrame:
+    """sources with rank, from 0 in the order of source, null last: ranges of sources are numbered side by side."""
+    parts = persisted(sources.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()), "ranges")
+    counts = parts.groupBy("part").agg(F.count("*").alias("n"))
+    offsets = counts.withColumn("offset", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row per range
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1
+    return parts.withColumn("inside", inside).join(offsets, "part").withColumn("rank", F.col("inside") + F.col("offset")).drop("part", "n", "offset", "inside")
+
+
 def with_targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = 1.5, most: float = 2.0) -> DataFrame:
-    """sources: source, words, docs. Adds weight, target. One row per source, so its order is one small sort."""
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weighted = persisted(sources.withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (rank % len(weights) + 1).cast("int"))), "sources")
+    """sources: source, words, docs. Adds weight, target."""
+    place = (F.col("rank") % len(weights) + 1).cast("int")
+    weighted = persisted(ranked(sources).withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), place)).drop("rank"), "sources")
     total = weighted.agg(F.sum("words")).first()[0] or 0
     goal = budget * total
     level = 0.0
@@ -52,42 +63,43 @@ def with_targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, budge
     return weighted.withColumn("target", F.least(F.col("words") * F.lit(float(most)), F.col("weight") * F.lit(float(level))))
 
 
-def tilted(histogram: DataFrame, sources: DataFrame, most: float = 2.0, tolerance: float = 1e-9, iterations: int = 30) -> DataFrame:
-    """sources with mu, tilt: the dual's solution. histogram: source, size, n."""
+def tilted(histogram: DataFrame, sources: DataFrame, most: float = 2.0, tolerance: float = 1e-7, iterations: int = 60) -> DataFrame:
+    """sources with share, mean, tilt: the dual's solution. histogram: source, size, n.
+
+    A Newton step is cut to the tilt's own length (2 at least), so that shares near the ends, whose tilts are large, are
+    approached by doubling; what misses the target by less than `tolerance` of the source's words is left to the rounding.
+    """
     share = F.when(F.col("words") > 0, F.col("target") / F.col("words")).otherwise(F.lit(0.0))
-    params = persisted(sources.withColumn("share", share).withColumn("mean", F.greatest(F.col("words") / F.col("docs"), F.lit(1e-9))).withColumn("mu", F.lit(0.0)).withColumn("tilt", F.lit(0.0)), "params")
-    rate, _ = rates(most)
-    x = F.col("size") / F.col("mean")
-    r, slope = rate, rate * (1 - rate / most)
+    params = persisted(sources.withColumn("share", share).withColumn("mean", F.greatest(F.col("words") / F.col("docs"), F.lit(1e-9))).withColumn("tilt", F.lit(0.0)).withColumn("open", inner(most)), "params")
     own = params.columns
+    x = F.col("size") / F.col("mean")
+    rate, _ = rates(most)
+    whole = lambda e: F.sum(F.round(F.col("n") * e * 2**20).cast("decimal(38,0)")).cast("double") / 2**20
     for _ in range(iterations):
-        moments = (
-            histogram.join(params.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")))
-            .groupBy("source")
-            .agg(*(F.sum(F.col("n") * e).alias(k) for k, e in {"g0": r - F.col("share"), "g1": (r - F.col("share")) * x, "h00": slope, "h01": slope * x, "h11": slope * x * x, "all1": x}.items()))
-        )
-        ridge = 1e-9 * (F.col("h00") + F.col("h11"))
-        a, b, c = F.col("h00") + ridge, F.col("h01"), F.col("h11") + ridge
-        det = a * c - b * b
-        inner = (F.col("share") > 0) & (F.col("share") < most * (1 - 1e-9)) & (det > 0)
-        step0, step1 = (c * F.col("g0") - b * F.col("g1")) / det, (a * F.col("g1") - b * F.col("g0")) / det
+        moving = params.filter("open")
+        moments = histogram.join(moving.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).groupBy("source")
+        moments = moments.agg(whole((rate - F.col("share")) * x).alias("miss"), whole(rate * (1 - rate / most) * x * x).alias("slope"), whole(x).alias("all"))
         joined = params.join(moments.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")), "left")
-        params = persisted(
-            joined.withColumn("miss", F.when(inner, F.abs("g0") / F.col("docs") + F.abs("g1") / F.col("all1"))).select(
-                *(c for c in own if c not in ("mu", "tilt")), F.when(inner, F.col("mu") - step0).otherwise(F.col("mu")).alias("mu"), F.when(inner, F.col("tilt") - step1).otherwise(F.col("tilt")).alias("tilt"), "miss"
-            ),
-            "params",
-        )
-        if (params.agg(F.max("miss")).first()[0] or 0.0) < tolerance:
+        far = F.col("open") & (F.abs("miss") > tolerance * F.col("all"))
+        longest = F.greatest(F.abs("tilt"), F.lit(2.0))
+        step = F.when(F.col("slope") > 0, F.col("miss") / F.col("slope")).otherwise(F.signum("miss") * longest)
+        step = F.greatest(F.least(step, longest), -longest)
+        moved = F.when(far, F.col("tilt") - step).otherwise(F.col("tilt"))
+        params = persisted(joined.select(*(c for c in own if c not in ("tilt", "open")), moved.alias("tilt"), F.coalesce(far, F.lit(False)).alias("open")), "params")
+        if params.filter("open").isEmpty():
             break
-    return params.drop("miss")
+    return params.drop("open")
+
+
+def inner(most: float) -> Column:
+    return (F.col("share") > 0) & (F.col("share") < most * (1 - 1e-9))
 
 
 def rates(most: float) -> tuple[Column, Column]:
-    """A document's rate from share, mu, tilt, size, mean; and the same with the ends of the range taken exactly."""
-    odds = F.exp(F.least(F.greatest(F.col("mu") + F.col("tilt") * F.col("size") / F.col("mean"), F.lit(-60.0)), F.lit(60.0)))
+    """A document's rate from share, tilt, size, mean; and the same with the ends of the range taken exactly."""
+    odds = F.exp(F.least(F.greatest(F.col("tilt") * F.col("size") / F.col("mean"), F.lit(-60.0)), F.lit(60.0)))
     rate = F.lit(float(most)) * odds / (1 + odds)
-    return rate, F.when(F.col("share") <= 0, F.lit(0.0)).when(F.col("share") >= most * (1 - 1e-9), F.lit(float(most))).otherwise(rate)
+    return rate, F.when(F.col("share") <= 0, F.lit(0.0)).when(~inner(most), F.lit(float(most))).otherwise(rate)
 
 
 def cuts(open_: DataFrame, left: DataFrame) -> DataFrame:
