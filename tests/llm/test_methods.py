@@ -174,6 +174,38 @@ def test_mixing_meets_targets(spark):
         assert abs(took[s] - target[s]) <= min(0.05 * target[s] + 1, largest)
 
 
+def test_mixing_rates_are_tilted_to_the_constraint(spark):
+    """The tilt is not 0, is the one that plain bisection finds, meets the token constraint, and does not depend on the order of rows."""
+    from sedimenta.llm.mixing import rates, tilted, with_targets
+
+    r, rows = random.Random(6), []
+    for source, n in (("a", 40), ("b", 300), ("c", 900), ("d", 7), (None, 50)):
+        rows += [(source, r.choice([r.randrange(1, 50), r.randrange(1, 5000)])) for _ in range(n)]
+
+    def solved(order):
+        docs = spark.createDataFrame(order, "source string, size bigint").repartition(3)
+        histogram = docs.groupBy("source", "size").agg(F.count("*").alias("n"))
+        sources = docs.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("docs"))
+        params = tilted(histogram, with_targets(sources, budget=0.4))
+        rate = rates(2.0)[1]
+        met = histogram.join(params.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).groupBy("source").agg(F.sum(F.col("n") * F.col("size") * rate).alias("got"), F.max("target").alias("target"), F.max("tilt").alias("tilt"), F.max("share").alias("share"), F.max("mean").alias("mean"))
+        return {x["source"]: x for x in met.collect()}
+
+    one, two = solved(rows), solved(rows[::-1])
+    assert {k: v["tilt"] for k, v in one.items()} == {k: v["tilt"] for k, v in two.items()}
+    assert sum(v["tilt"] != 0 for v in one.values()) >= 2
+    for source, v in one.items():
+        assert v["got"] == pytest.approx(v["target"], rel=1e-5)
+        if 0 < v["share"] < 2 * (1 - 1e-9):
+            sizes = [s for k, s in rows if k == source]
+            got = lambda t: sum(2 * s / (1 + math.exp(-max(-60, min(60, t * s / v["mean"])))) for s in sizes)  # noqa: B023, E731
+            low, high = -1e6, 1e6
+            for _ in range(200):
+                mid = (low + high) / 2
+                low, high = (mid, high) if got(mid) < v["target"] else (low, mid)
+            assert v["tilt"] == pytest.approx(low, rel=1e-3, abs=1e-5)
+
+
 def test_mixing_goes_past_what_does_not_fit(spark):
     """One document holds a third of its source's words; in the last source all rows share an id and a size."""
     from sedimenta.llm.mixing import with_copies
