@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 
 import pandas as pd
@@ -52,11 +53,17 @@ def _unique(pairs: list[tuple[str, object]]) -> dict:
     return out
 
 
+#: A backslash and what follows it; the short escapes of control characters are written in full in the canonical form.
+_SHORT = re.compile(r"\\(.)")
+_LONG = {c: f"\\u{ord(x):04x}" for c, x in (("b", "\b"), ("t", "\t"), ("n", "\n"), ("f", "\f"), ("r", "\r"))}
+
+
 def canonical_bytes(text: str) -> bytes:
     """A JSON text's canonical bytes: UTF-8, sorted keys, integers within 2**53, a line feed last."""
     value = json.loads(text, object_pairs_hook=_unique)
     _checked(value)
-    return (json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False) + "\n").encode()
+    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return (_SHORT.sub(lambda m: _LONG.get(m[1], m[0]), text) + "\n").encode()
 
 
 def strings_in(text: str, scalars: bool = False) -> list[str]:
@@ -97,6 +104,11 @@ def comparison_key_udf(names: pd.Series) -> pd.Series:
     return names.map(comparison_key, na_action="ignore")
 
 
+@F.pandas_udf(T.StringType())
+def normal_form_udf(names: pd.Series) -> pd.Series:
+    return names.map(lambda name: unicodedata.normalize("NFC", name), na_action="ignore")
+
+
 @F.pandas_udf(T.StringType())
 def path_key_udf(paths: pd.Series) -> pd.Series:
     return paths.map(path_key, na_action="ignore")

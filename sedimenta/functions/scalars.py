@@ -46,5 +46,14 @@ def phase_order(phase: Column) -> Column:
 
 
 def rational_order(numerator: Column, denominator: Column) -> Column:
-    """Exact order for ratios of integers up to 18 digits."""
-    return numerator.cast("decimal(38,18)") / denominator.cast("decimal(38,18)")
+    """A sort key for ratios of bigints with denominators above 0: the whole part, then 36 digits of the fraction.
+
+    Exact while denominators have up to 18 digits: two such ratios that differ do so by 10**-36 at least. The fraction is
+    divided out in two steps of 18 digits, as one step would not fit a decimal.
+    """
+    n, d = numerator.cast("decimal(19,0)"), denominator.cast("decimal(19,0)")
+    rest = F.pmod(n, d)
+    shifted = rest.cast("decimal(38,0)") * F.lit(10**18).cast("decimal(19,0)")
+    first = F.call_function("div", shifted, d)
+    second = F.call_function("div", F.pmod(shifted, d.cast("decimal(38,0)")).cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)"), d)
+    return F.struct(F.call_function("div", n - rest, d).alias("whole"), first.alias("first"), second.alias("second"))

@@ -3,7 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedimenta.schemas import REFINEMENTS
+from sedimenta.functions.names import canonical_line_udf
+from sedimenta.schemas import JOURNAL, REFINEMENTS
 
 
 def by_object():
@@ -82,20 +83,47 @@ def live_prior_names(journal: DataFrame) -> DataFrame:
     return journal.withColumn("new", new).select("event_id", F.coalesce(F.sum("new").over(earlier()), F.lit(0)).alias("prior_names"))
 
 
-def witness(journal: DataFrame) -> DataFrame:
-    """Per object, its records' number and the digest of their lines in order."""
-    lines = journal.select("cas_id", F.struct("ord", F.concat_ws("|", "event_id", "at", "source_root_id", "original_relpath").alias("line")).alias("r"))
-    return lines.groupBy("cas_id").agg(F.count("*").alias("records"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: F.concat(r["line"], F.lit("\n"))), "").cast("binary"), 256).alias("digest"))
+def located(journal: DataFrame) -> DataFrame:
+    """The journal with its canonical lines (`line`, without the line feed), their offset, length and digest in the canonical file.
 
+    Offsets are running sums within ranges of ord, plus a row per range for what came before it.
+    """
+    fields = JOURNAL.fieldNames()
+    lines = journal.withColumn("line", canonical_line_udf(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})))
+    lines = lines.withColumn("length", (F.octet_length("line") + 1).cast("bigint")).withColumn("__part", F.floor(F.col("ord") / 65536))
+    inside = Window.partitionBy("__part").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    earlier_parts = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = lines.groupBy("__part").agg(F.sum("length").alias("__all")).withColumn("__before", F.coalesce(F.sum("__all").over(earlier_parts), F.lit(0)))
+    placed = lines.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0))).join(parts.drop("__all"), "__part")
+    digest = F.sha2(F.concat("line", F.lit("\n")).cast("binary"), 256)
+    return placed.withColumn("offset", F.col("offset") + F.col("__before")).withColumn("sha256", digest).drop("__part", "__before")
 
-def commitment(journal: DataFrame, block: int = 1024) -> DataFrame:
-    """A digest of the ordered journal in two levels, blocks of ord and the blocks' digests, so no task reads all lines."""
-    lines = journal.select(F.floor(F.col("ord") / block).alias("block"), F.struct("ord", F.concat_ws("|", "event_id", "cas_id").alias("line")).alias("r"))
-    blocks = lines.groupBy("block").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["line"]), "\n").cast("binary"), 256).alias("digest"))
-    return blocks.agg(F.sum("n").alias("records"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "digest"))), lambda b: b["digest"]), "").cast("binary"), 256).alias("digest"))
+
+def witness(located: DataFrame) -> DataFrame:
+    """Per object, its records' number and the digest of their located rows (event_id, offset, length, sha256) in order.
+
+    The digest of one object's rows is one text by its definition: about 150 bytes for each sighting of the object.
+    """
+    row = F.concat_ws("\t", "event_id", F.col("offset").cast("string"), F.col("length").cast("string"), "sha256")
+    rows = located.groupBy("cas_id").agg(F.count("*").alias("records"), F.array_sort(F.collect_list(F.struct("offset", F.concat(row, F.lit("\n")).alias("row")))).alias("rows"))
+    return rows.select("cas_id", "records", F.sha2(F.array_join("rows.row", "").cast("binary"), 256).alias("digest"))
+
+
+def digest_of(lines: DataFrame) -> DataFrame:
+    """lines: block, order, line. One row: records, digest."""
+    joined = F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("order", "line"))), lambda r: r["line"]), "\n"), F.lit("\n"))
+    blocks = lines.groupBy("block").agg(F.count("*").alias("n"), F.sha2(joined.cast("binary"), 256).alias("digest"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "digest"))), lambda b: b["digest"]), "")
+    return blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("records"), F.sha2(whole.cast("binary"), 256).alias("digest"))
+
+
+def journal_commitment(journal: DataFrame, block: int = 4096) -> DataFrame:
+    """records, digest of the journal's canonical lines in order, in blocks of ord."""
+    lines = located(journal).select(F.floor(F.col("ord") / block).alias("block"), F.col("ord").alias("order"), "line")
+    return digest_of(lines)
 
 
 def diagnosis(journal: DataFrame, entries: DataFrame) -> DataFrame:
     """One row of counts and the journal's commitment."""
     live = entries.agg(F.count_if(F.col("live") == 1).alias("live_entries"), F.count_if(F.col("live") == 0).alias("deleted_entries"))
-    return commitment(journal).join(live)
+    return journal_commitment(journal).join(live)

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedimenta.functions.scalars import instant
-from sedimenta.schemas import CAS_ID, EVENT_ID, JOURNAL, SAFE_INTEGER
+from sedimenta.schemas import CAS_ID, EVENT_ID, JOURNAL, JOURNAL_SCHEMA, V1_JOURNAL
 
 
 def _errors(rules: dict[str, Column]) -> Column:
@@ -18,21 +18,41 @@ def key_errors(line: Column, declared: list[str]) -> Column:
     return F.when(keys.isNull(), F.lit("not-an-object")).when(F.size(keys) != F.size(F.array_distinct(keys)), F.lit("duplicate-key")).when(F.array_sort(keys) != F.array(*map(F.lit, sorted(declared))), F.lit("keys"))
 
 
-def record_errors(journal: DataFrame) -> DataFrame:
-    """event_id, errors: codes joined by commas, for records with any."""
+def _shared_rules() -> dict[str, Column]:
     path = F.col("original_relpath")
-    rules = {
-        "schema": F.col("schema") != "journal/2",
-        "event-id": ~F.col("event_id").rlike(EVENT_ID),
+    return {
         "event": F.col("event") != "ingest",
         "outcome": ~F.col("outcome").isin("stored", "dedup"),
         "cas-id": ~F.col("cas_id").rlike(CAS_ID),
-        "size": (F.col("size") < 0) | (F.col("size") > SAFE_INTEGER),
+        "size": F.col("size") < 0,
         "media-type": F.col("media_type") == "",
         "source": F.col("source_root_id") == "",
         "time": instant(F.col("at")).isNull(),
         "relpath": (path == "") | path.startswith("/") | F.array_contains(F.split(path, "/"), ".."),
     }
+
+
+def v1_record_errors(records: DataFrame) -> DataFrame:
+    """ord, errors of ten-field records of the first format (V1_JOURNAL): as for records of today, and mtime must not be empty."""
+    rules = _shared_rules() | {"mtime": F.col("mtime") == ""}
+    return records.select("ord", F.array_join(_errors(rules), ",").alias("errors")).filter("errors <> ''")
+
+
+def parsed_v1(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """lines: ord, line. (records, errors) of a journal of the first format. Identity of today's format refuses at once:
+    migration is done only once."""
+    keys = F.json_object_keys("line")
+    already = F.coalesce(F.array_contains(keys, "schema") | F.array_contains(keys, "event_id"), F.lit(False))
+    keyed = lines.withColumn("key_error", F.when(already, F.lit("already-migrated")).otherwise(key_errors(F.col("line"), V1_JOURNAL.fieldNames())))
+    keyed = keyed.withColumn("key_error", F.coalesce("key_error", F.when(_not_an_integer("$.size"), F.lit("size"))))
+    records = keyed.filter("key_error IS NULL").select("ord", F.from_json("line", V1_JOURNAL).alias("r")).select("ord", "r.*")
+    errors = keyed.filter("key_error IS NOT NULL").select("ord", F.col("key_error").alias("errors"))
+    return records, errors.unionByName(v1_record_errors(records))
+
+
+def record_errors(journal: DataFrame) -> DataFrame:
+    """event_id, errors: codes joined by commas, for records with any."""
+    rules = {"schema": F.col("schema") != JOURNAL_SCHEMA, "event-id": ~F.col("event_id").rlike(EVENT_ID)} | _shared_rules()
     return journal.select("ord", "event_id", F.array_join(_errors(rules), ",").alias("errors")).filter("errors <> ''")
 
 
@@ -50,11 +70,14 @@ def sequence_errors(journal: DataFrame) -> DataFrame:
     return joined.select("ord", "event_id", F.array_join(fault, ",").alias("errors")).filter("errors <> ''")
 
 
+def _not_an_integer(path: str) -> Column:
+    return F.coalesce(F.schema_of_variant(F.try_variant_get(F.try_parse_json("line"), path, "variant")) != "BIGINT", F.lit(True))
+
+
 def parsed(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """lines: ord, line. (records, errors) of a strict journal: closed keys, then fields, then the grammars."""
     keyed = lines.withColumn("key_error", key_errors(F.col("line"), JOURNAL.fieldNames()))
-    bad_integer = F.coalesce(F.schema_of_variant(F.try_variant_get(F.try_parse_json("line"), "$.size", "variant")) != "BIGINT", F.lit(True))
-    keyed = keyed.withColumn("key_error", F.coalesce("key_error", F.when(bad_integer, F.lit("size"))))
+    keyed = keyed.withColumn("key_error", F.coalesce("key_error", F.when(_not_an_integer("$.size"), F.lit("size"))))
     records = keyed.filter("key_error IS NULL").select("ord", F.from_json("line", JOURNAL).alias("r")).select("ord", "r.*")
     errors = keyed.filter("key_error IS NOT NULL").select("ord", F.lit(None).cast("string").alias("event_id"), F.col("key_error").alias("errors"))
     return records, errors.unionByName(record_errors(records))

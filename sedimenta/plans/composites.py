@@ -3,8 +3,10 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sedimenta.functions.names import canonical_line_udf
 from sedimenta.functions.scalars import migrated_event_id
 from sedimenta.operators import index, intervals, verify
+from sedimenta.schemas import JOURNAL, JOURNAL_SCHEMA, V1_JOURNAL
 
 
 class MergeRefused(ValueError):
@@ -23,10 +25,10 @@ def merge(target: DataFrame, source: DataFrame) -> tuple[DataFrame, DataFrame, D
 
 
 def migrate_v1(records: DataFrame) -> DataFrame:
-    """Ten-field records with their line's ordinal: mtime goes, ids follow from the line, outcomes from the order."""
-    line = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sorted(c for c in records.columns if c not in ("ord", "mtime"))))
-    rows = records.withColumn("event_id", migrated_event_id(F.col("ord"), line)).withColumn("schema", F.lit("journal/2")).drop("mtime")
-    return index.outcomes(rows).drop("prior_count")
+    """Ten-field records (V1_JOURNAL) with `ord`, their line's ordinal from 1: ids follow from the ordinal and the whole record, mtime goes."""
+    line = canonical_line_udf(F.to_json(F.struct(*V1_JOURNAL.fieldNames()), {"ignoreNullFields": "false"}))
+    rows = records.withColumn("event_id", migrated_event_id(F.col("ord"), line)).withColumn("schema", F.lit(JOURNAL_SCHEMA))
+    return rows.select("ord", *JOURNAL.fieldNames())
 
 
 def trace_report(spans: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.schemas import DOCX
+from sedimenta.schemas import DOCX, JOURNAL_SCHEMA
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,12 +15,18 @@ def instant(seconds: str) -> str:
     return f"concat(date_add(DATE'2026-01-01', CAST({seconds} DIV 86400 AS INT)), 'T', lpad({seconds} DIV 3600 % 24, 2, '0'), ':', lpad({seconds} DIV 60 % 60, 2, '0'), ':', lpad({seconds} % 60, 2, '0'), 'Z')"
 
 
+def event_id(number: str) -> str:
+    """SQL for an event id of the minted form, drawn from a number's md5."""
+    digest = f"md5(CAST({number} AS STRING))"
+    return f"concat('uuid:', substr({digest}, 1, 8), '-', substr({digest}, 9, 4), '-4', substr({digest}, 14, 3), '-8', substr({digest}, 18, 3), '-', substr({digest}, 21, 12))"
+
+
 def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The journal, with `ord` for its order: an ingest event for every document."""
     return table(spark, sf_dir, "documents").selectExpr(
         "doc_id AS ord",
-        "'journal/2' AS schema",
-        "concat('v1:', lpad(CAST(doc_id + 1 AS STRING), 16, '0')) AS event_id",
+        f"'{JOURNAL_SCHEMA}' AS schema",
+        f"{event_id('doc_id')} AS event_id",
         f"{instant('doc_id')} AS at",
         "'ingest' AS event",
         "concat('sha256:', sha2(text, 256)) AS cas_id",
