@@ -1,10 +1,9 @@
 """Excision: what goes, what that would take along, and what must not stay anywhere."""
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sedimenta.operators.lineage import cut
 from sedimenta.operators.tree import closure
 
 LITERAL = "sha256:[0-9a-f]{64}"
@@ -40,28 +39,18 @@ def metadata_matches(rows: DataFrame, column: str, forbidden: list[str]) -> Data
     return rows.filter(F.col(column).isin(forbidden) | F.arrays_overlap(F.split(column, "/"), F.array(*map(F.lit, forbidden))))
 
 
-def disclosures(selection: DataFrame, edges: DataFrame, rounds: int = 64) -> DataFrame:
+def disclosures(selection: DataFrame, edges: DataFrame) -> DataFrame:
     """The least set with the selection that holds every owner of what it holds. edges: owner, cas_id, where an owner
-    discloses the content and is content itself. Each round adds owners of the last round's additions only, and is
-    cut off from the plan before it by a checkpoint in the session's shared folder."""
+    discloses the content and is content itself. Each round adds owners of the last round's additions only, until there
+    are none; it is cut off from the plan before it by a checkpoint in the session's shared folder."""
     found = selection.select("cas_id").distinct()
     new = found
-    for _ in range(rounds):
+    while True:
         owners = edges.join(new, "cas_id", "left_semi").select(F.col("owner").alias("cas_id")).distinct()
-        new = _cut(owners.join(found, "cas_id", "left_anti"))
+        new = cut(owners.join(found, "cas_id", "left_anti"))
         if new.isEmpty():
             return found
-        found = _cut(found.unionByName(new))
-    raise RuntimeError(f"not closed after {rounds} rounds")
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the session's shared folder; a temporary one only where none is set, as in tests."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sedimenta-"))
-    return df.checkpoint()
-
+        found = cut(found.unionByName(new))
 
 def plan(entries: DataFrame, root: str, selection: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entries that go, conflicts): live entries elsewhere that still hold selected content."""

@@ -3,6 +3,9 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sedimenta.functions.names import comparison_key
+from sedimenta.operators.tree import with_key
+
 
 def names_for(names: DataFrame, cas_id: str) -> DataFrame:
     return names.filter(F.col("cas_id") == cas_id)
@@ -36,26 +39,36 @@ def choose_name(names: DataFrame, wanted: str) -> DataFrame:
 
 
 def directory_page(entries: DataFrame, parent: str, after: str | None, limit: int) -> DataFrame:
-    """Live children with names past `after`, in order; `next_name` is the page's last name if there are more."""
-    rows = entries.filter((F.col("parent_id") == parent) & (F.col("live") == 1))
+    """Live children with names past `after` by comparison key, in order; `next_name` is the page's last name if there are more."""
+    rows = with_key(entries.filter((F.col("parent_id") == parent) & (F.col("live") == 1)))
     if after is not None:
-        rows = rows.filter(F.lower("name") > after.lower())
-    page = rows.withColumn("key", F.lower("name")).orderBy("key", "entry_id").limit(limit + 1)
-    order = Window.orderBy("key", "entry_id")  # limit + 1 rows at most
+        rows = rows.filter(F.col("comparison_key") > comparison_key(after))
+    page = rows.orderBy("comparison_key", "entry_id").limit(limit + 1)
+    order = Window.orderBy("comparison_key", "entry_id")  # limit + 1 rows at most
     numbered = page.withColumn("rn", F.row_number().over(order)).withColumn("more", F.count("*").over(Window.partitionBy(F.lit(1))) > limit)
     return numbered.filter(F.col("rn") <= limit).withColumn("next_name", F.when(F.col("more") & (F.col("rn") == limit), F.col("name"))).select("entry_id", "kind", "name", "next_name")
 
 
-def changes_since(entries: DataFrame, revision: int, entry_id: str, limit: int) -> DataFrame:
-    """Entries touched past the cursor (revision, entry_id), deleted ones too; the plain comparison reaches the scan."""
+def changes_since(entries: DataFrame, revision: int, entry_id: str, limit: int, generation: str | None = None, current: str | None = None) -> DataFrame:
+    """Entries touched past the cursor (revision, entry_id), deleted ones too; the plain comparison reaches the scan.
+
+    The page's last row carries the next cursor (next_revision, next_entry_id) if there are more. A cursor of another
+    generation than the current one is refused.
+    """
+    if generation != current:
+        raise ValueError(f"revision-conflict: generation {generation} is not {current}")
     past = F.struct("touched_revision", "entry_id") > F.struct(F.lit(revision).cast("bigint"), F.lit(entry_id))
-    return entries.filter((F.col("touched_revision") >= revision) & past).orderBy("touched_revision", "entry_id").limit(limit).select("touched_revision", "entry_id", "kind", "live")
+    page = entries.filter((F.col("touched_revision") >= revision) & past).orderBy("touched_revision", "entry_id").limit(limit + 1)
+    order = Window.orderBy("touched_revision", "entry_id")  # limit + 1 rows at most
+    numbered = page.withColumn("rn", F.row_number().over(order)).withColumn("more", F.count("*").over(Window.partitionBy(F.lit(1))) > limit)
+    last = F.col("more") & (F.col("rn") == limit)
+    return numbered.filter(F.col("rn") <= limit).select("touched_revision", "entry_id", "kind", "live", F.when(last, F.col("touched_revision")).alias("next_revision"), F.when(last, F.col("entry_id")).alias("next_entry_id"))
 
 
 def recent(rows: DataFrame, by: str, order: str, n: int) -> DataFrame:
-    """Per group the n last rows, oldest first."""
+    """Per group the n last rows; ordered by group, oldest first."""
     w = Window.partitionBy(by).orderBy(F.col(order).desc(), F.col("span_id").desc())
-    return rows.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n).drop("rn")
+    return rows.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n).drop("rn").orderBy(by, order, "span_id")
 
 
 def epoch_at(points: DataFrame, epochs: DataFrame, revision: str = "revision", start: str = "start", width: int = 4096) -> DataFrame:

@@ -17,7 +17,8 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 J = f"""J AS (
-  SELECT doc_id AS ord, 'v1:' || lpad(CAST(doc_id + 1 AS VARCHAR), 16, '0') AS event_id,
+  SELECT doc_id AS ord, 'uuid:' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) || '-' || substr(md5(CAST(doc_id AS VARCHAR)), 9, 4) || '-4' || substr(md5(CAST(doc_id AS VARCHAR)), 14, 3)
+      || '-8' || substr(md5(CAST(doc_id AS VARCHAR)), 18, 3) || '-' || substr(md5(CAST(doc_id AS VARCHAR)), 21, 12) AS event_id,
     strftime(TIMESTAMP '2026-01-01' + to_seconds(doc_id), '%Y-%m-%dT%H:%M:%SZ') AS at, 'sha256:' || sha256(text) AS cas_id, CAST(strlen(text) AS BIGINT) AS size,
     CASE doc_id % 11 WHEN 0 THEN 'application/zip' WHEN 1 THEN '{DOCX}' ELSE 'text/plain' END AS media_type,
     source AS source_root_id, lang || '/' || CAST(doc_id % 37 AS VARCHAR) || '.txt' AS original_relpath,
@@ -46,6 +47,13 @@ P = f"""{S}, P AS (
 PI AS (
   SELECT phase_id, park_id, min(at) FILTER (WHERE event = 'open') AS st, max(at) FILTER (WHERE event = 'close') AS en, min(boot) FILTER (WHERE event = 'open') AS boot,
     coalesce(min(boot) FILTER (WHERE event = 'open') = max(boot) FILTER (WHERE event = 'close'), false) AS exact FROM P GROUP BY ALL)"""
+def json_of(*fields: str) -> str:
+    """SQL for a JSON object of these fields in canonical form, for texts without escapes; size and revisions are numbers."""
+    numbers = ("size", "changed_revision", "revision")
+    value = lambda f: f"coalesce(CAST({f} AS VARCHAR), 'null')" if f in numbers else f"coalesce(chr(34) || {f} || chr(34), 'null')"
+    return "'{' || " + " || ',' || ".join(f"'\"{f}\":' || " + value(f) for f in sorted(fields)) + " || '}'"
+
+
 OUT = "OUT AS (SELECT *, CASE WHEN row_number() OVER w = 1 THEN 'stored' ELSE 'dedup' END AS outcome, row_number() OVER w - 1 AS prior_count FROM J WINDOW w AS (PARTITION BY cas_id ORDER BY ord))"
 
 
@@ -89,11 +97,23 @@ simple("receipts_latest", journal, index.receipts, f"""WITH {J}, R AS (SELECT *,
 simple("live_prior_names", journal, index.live_prior_names, f"""WITH {J} SELECT a.event_id, (SELECT count(DISTINCT b.source_root_id || chr(31) || b.original_relpath) FROM J b WHERE b.cas_id = a.cas_id AND b.ord < a.ord) AS prior_names FROM J a""")
 simple("media_conflicts", journal, index.media_conflicts, f"""WITH {J}, L AS (SELECT *, lag(media_type) OVER (PARTITION BY cas_id ORDER BY ord) AS before FROM J)
   SELECT cas_id, event_id, before, media_type FROM L WHERE before <> media_type AND NOT (before = 'application/zip' AND media_type = '{DOCX}')""")
-simple("object_witness", journal, index.witness, f"""WITH {J} SELECT cas_id, count(*) AS records, sha256(string_agg(event_id || '|' || at || '|' || source_root_id || '|' || original_relpath || chr(10), '' ORDER BY ord)) AS digest FROM J GROUP BY cas_id""")
-simple("authority_commitment", journal, index.commitment, f"""WITH {J}, B AS (SELECT ord // 1024 AS block, count(*) AS n, sha256(string_agg(event_id || '|' || cas_id, chr(10) ORDER BY ord)) AS digest FROM J GROUP BY 1)
+LINES = f"LN AS (SELECT *, {json_of('at', 'batch', 'cas_id', 'event', 'event_id', 'media_type', 'original_relpath', 'outcome', 'schema', 'size', 'source_root_id')} AS line FROM (SELECT *, 'ingest' AS event, 'journal.v2' AS schema FROM OUT))"
+LOCATED = f"{LINES}, LC AS (SELECT *, strlen(line) + 1 AS length, coalesce(sum(strlen(line) + 1) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS \"offset\", sha256(line || chr(10)) AS sha256 FROM LN)"
+
+
+def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The journal with all its eleven fields."""
+    return index.outcomes(journal(spark, sf_dir)).drop("prior_count")
+
+
+simple("journal_spans", whole, lambda j: index.located(j).select("event_id", "offset", "length", "sha256"), f'WITH {J}, {OUT}, {LOCATED} SELECT event_id, CAST("offset" AS BIGINT) AS "offset", CAST(length AS BIGINT) AS length, sha256 FROM LC')
+simple("object_witness", whole, lambda j: index.witness(index.located(j)), f"""WITH {J}, {OUT}, {LOCATED} SELECT cas_id, count(*) AS records,
+  sha256(string_agg(event_id || chr(9) || CAST("offset" AS VARCHAR) || chr(9) || CAST(length AS VARCHAR) || chr(9) || sha256 || chr(10), '' ORDER BY "offset")) AS digest FROM LC GROUP BY cas_id""")
+simple("authority_commitment", whole, index.journal_commitment, f"""WITH {J}, {OUT}, {LINES}, B AS (SELECT ord // 4096 AS block, count(*) AS n, sha256(string_agg(line || chr(10), '' ORDER BY ord)) AS digest FROM LN GROUP BY 1)
   SELECT CAST(sum(n) AS BIGINT) AS records, sha256(string_agg(digest, '' ORDER BY block)) AS digest FROM B""")
-simple("migrate_v1", lambda s, d: journal(s, d).drop("event_id", "schema").withColumn("mtime", F.col("ord")), lambda r: composites.migrate_v1(r).select("ord", "event_id", "outcome"), f"""WITH {J}, {OUT} SELECT ord,
-  'v1:' || lpad(CAST(ord AS VARCHAR), 16, '0') || ':sha256:' || sha256(at || '|' || coalesce(batch, '') || '|' || cas_id || '|ingest|' || media_type || '|' || original_relpath || '|' || CAST(size AS VARCHAR) || '|' || source_root_id) AS event_id, outcome FROM OUT""")
+V1 = f"V1 AS (SELECT *, {json_of('at', 'batch', 'cas_id', 'event', 'media_type', 'mtime', 'original_relpath', 'outcome', 'size', 'source_root_id')} AS line FROM (SELECT *, at AS mtime, 'ingest' AS event FROM OUT))"
+simple("migrate_v1", lambda s, d: whole(s, d).drop("event_id", "schema").withColumn("mtime", F.col("at")).withColumn("ord", F.col("ord") + 1), lambda r: composites.migrate_v1(r).select("ord", "event_id", "outcome"), f"""WITH {J}, {OUT}, {V1}
+  SELECT ord + 1 AS ord, 'v1:' || lpad(CAST(ord + 1 AS VARCHAR), 16, '0') || ':sha256:' || sha256(line) AS event_id, outcome FROM V1""")
 
 
 # lookups
@@ -217,11 +237,15 @@ simple("tree_orphans", lambda s, d: entries(s, d).withColumn("live", F.when(F.co
 simple("tree_bad_parents", lambda s, d: entries(s, d).withColumn("live", F.when(F.col("entry_id").isin("n3", "r2"), 0).otherwise(F.col("live"))), tree.bad_parents, f"WITH {E} SELECT entry_id, parent_id FROM E WHERE live = 1 AND parent_id IN ('n3', 'r2') AND entry_id <> 'n3'")
 simple("sibling_conflicts", lambda s, d: entries(s, d).withColumn("name", F.when(F.col("kind") == "file", F.substring("name", -1, 1)).otherwise(F.col("name"))), tree.sibling_conflicts, f"""WITH {E}, K AS (SELECT parent_id, lower(CASE WHEN kind = 'file' THEN right(name, 1) ELSE name END) AS comparison_key FROM E WHERE live = 1 AND parent_id IS NOT NULL)
   SELECT parent_id, comparison_key, count(*) AS n FROM K GROUP BY ALL HAVING count(*) > 1""")
-simple("tree_totals", entries, tree.totals, f"WITH {E} SELECT count(*) FILTER (WHERE live = 1) AS live_entries, CAST(sum(strlen(concat_ws('|', entry_id, kind, parent_id, name))) FILTER (WHERE live = 1) AS BIGINT) AS entry_bytes, count(*) FILTER (WHERE live = 1 AND kind = 'file') AS live_files FROM E")
+ENTRY_JSON = "'{\"cas_id\":null,\"changed_revision\":' || CAST(changed_revision AS VARCHAR) || ',\"entry_id\":\"' || entry_id || '\",\"kind\":\"' || kind || '\",\"metadata\":{},\"name\":' || coalesce('\"' || name || '\"', 'null') || ',\"parent_id\":' || coalesce('\"' || parent_id || '\"', 'null') || ',\"size\":' || coalesce(CAST(size AS VARCHAR), 'null') || '}'"
+simple("tree_totals", entries, tree.totals, f"WITH {E} SELECT count(*) AS live_entries, CAST(sum(strlen({ENTRY_JSON})) AS BIGINT) AS entry_bytes, count(*) FILTER (WHERE kind = 'file') AS live_files FROM E WHERE live = 1")
+simple("entry_ancestors", entries, lambda e: tree.ancestors(e, e.filter("kind = 'file' AND live = 1")).select("entry_id", "ancestor_id", "level"), f"""WITH RECURSIVE {E}, A AS (SELECT entry_id, entry_id AS ancestor_id, 0 AS level FROM E WHERE kind = 'file' AND live = 1
+  UNION ALL SELECT A.entry_id, E.parent_id, A.level + 1 FROM A JOIN E ON E.entry_id = A.ancestor_id WHERE E.parent_id IS NOT NULL) SELECT entry_id, ancestor_id, CAST(level AS BIGINT) AS level FROM A""")
 simple("live_counts", entries, lambda e: e.groupBy("live").agg(F.count("*").alias("n")), f"WITH {E} SELECT CAST(live AS INT) AS live, count(*) AS n FROM E GROUP BY 1")
 simple("directory_page", entries, lambda e: lookup.directory_page(e, "n1", "customer#0000", 20), f"""WITH {E}, K AS (SELECT *, row_number() OVER (ORDER BY lower(name), entry_id) AS rn, count(*) OVER () AS n FROM E WHERE parent_id = 'n1' AND live = 1 AND lower(name) > 'customer#0000')
   SELECT entry_id, kind, name, CASE WHEN rn = 20 AND n > 20 THEN name END AS next_name FROM K WHERE rn <= 20""")
-simple("changes_since", entries, lambda e: lookup.changes_since(e, 105, "c5", 100), f"WITH {E} SELECT touched_revision, entry_id, kind, CAST(live AS INT) AS live FROM E WHERE touched_revision > 105 OR (touched_revision = 105 AND entry_id > 'c5') ORDER BY touched_revision, entry_id LIMIT 100")
+simple("changes_since", entries, lambda e: lookup.changes_since(e, 105, "c5", 100), f"""WITH {E}, K AS (SELECT *, row_number() OVER (ORDER BY touched_revision, entry_id) AS rn, count(*) OVER () AS n FROM E WHERE touched_revision > 105 OR (touched_revision = 105 AND entry_id > 'c5'))
+  SELECT touched_revision, entry_id, kind, CAST(live AS INT) AS live, CASE WHEN rn = 100 AND n > 100 THEN touched_revision END AS next_revision, CASE WHEN rn = 100 AND n > 100 THEN entry_id END AS next_entry_id FROM K WHERE rn <= 100""")
 simple("state_at_revision", entries, lambda e: tree.state_at(tree.creation_log(e), 150).select("entry_id", "kind", "name"), f"WITH {E} SELECT entry_id, kind, name FROM E WHERE changed_revision <= 150")
 
 

@@ -1,17 +1,23 @@
 """Incremental index maintenance: new journal records are folded in as they come; late or repeated ones stop the stream.
 
-The index lives in generations, a folder each of Parquet. A batch reads the current one, checks its records against the
-tail (the greatest (at, event_id) so far) and the known ids, folds them, and writes the next generation; batch numbers
-make a repeated batch write the same one again. Records at or before the tail are not dropped: they raise, and the
-caller re-derives the index from the whole journal, as `rebuild` does.
+The index lives in generations, a folder each of Parquet, named by batch. A batch reads the one before it, checks its
+records against the tail (the greatest (instant, event_id) so far; instants are compared, not their texts) and against
+all event ids of earlier batches, folds them, and writes its generation and its ids; a repeated batch writes the same
+ones again. Records at or before the tail and known ids are not dropped: they raise, and the caller derives the batch's
+generation from the whole journal by `rebuild`, which the next batch then follows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sedimenta.functions.scalars import instant
 from sedimenta.schemas import JOURNAL
 
 
@@ -19,18 +25,23 @@ class OutOfOrder(RuntimeError):
     """A record that the index cannot take in order."""
 
 
-STATE = "cas_id string, size bigint, media_type string, media_at string, first_seen_utc string, batch string, records bigint, last_at string"
+PLACE = "struct<t:timestamp,event_id:string>"
+STATE = f"cas_id string, size bigint, media_type string, first_seen_utc string, batch string, records bigint, last {PLACE}"
+
+
+def place() -> Column:
+    return F.struct(instant(F.col("at")).alias("t"), F.col("event_id").alias("event_id"))
 
 
 def fold(records: DataFrame) -> DataFrame:
-    order = F.struct("at", "event_id")
-    return records.groupBy("cas_id").agg(F.min("size").alias("size"), F.max_by("media_type", order).alias("media_type"), F.max("at").alias("media_at"), F.min_by("at", order).alias("first_seen_utc"), F.min_by("batch", order).alias("batch"), F.count("*").alias("records"), F.max("at").alias("last_at"))
+    order = place()
+    return records.groupBy("cas_id").agg(F.min("size").alias("size"), F.max_by("media_type", order).alias("media_type"), F.min_by("at", order).alias("first_seen_utc"), F.min_by("batch", order).alias("batch"), F.count("*").alias("records"), F.max(order).alias("last"))
 
 
 def merged(index: DataFrame, new: DataFrame) -> DataFrame:
     """The index after new objects and records: as fold of both journals, since all new records are later."""
     both = index.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
-    return both.groupBy("cas_id").agg(F.min("size").alias("size"), F.max_by("media_type", "__new").alias("media_type"), F.max("media_at").alias("media_at"), F.min_by("first_seen_utc", "__new").alias("first_seen_utc"), F.min_by("batch", "__new").alias("batch"), F.sum("records").alias("records"), F.max("last_at").alias("last_at"))
+    return both.groupBy("cas_id").agg(F.min("size").alias("size"), F.max_by("media_type", "__new").alias("media_type"), F.min_by("first_seen_utc", "__new").alias("first_seen_utc"), F.min_by("batch", "__new").alias("batch"), F.sum("records").alias("records"), F.max("last").alias("last"))
 
 
 class Catchup:
@@ -55,19 +66,35 @@ class Catchup:
         done = [int(x.rpartition("-")[2]) for x in names if x.startswith("generation-") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{x}/_SUCCESS"))]
         return max(done, default=-1)
 
+    def ids(self, before: int) -> DataFrame:
+        """The event ids of all batches before this one."""
+        paths = [f"{self.path}/ids-{n:08d}" for n in range(before)]
+        return self.spark.read.schema("event_id string").parquet(*paths) if paths else self.spark.createDataFrame([], "event_id string")
+
+    def _write(self, index: DataFrame, records: DataFrame, batch_id: int) -> None:
+        records.select("event_id").write.mode("overwrite").parquet(f"{self.path}/ids-{batch_id:08d}")
+        index.write.mode("overwrite").parquet(self.generation(batch_id))
+
     def apply(self, records: DataFrame, batch_id: int) -> None:
         """One batch; a batch that ran before is written again from the same generation before it."""
-        before = self.index(batch_id - 1) if batch_id else self.index(-1)
-        tail = before.agg(F.max("last_at")).first()[0]
-        facts = records.agg(F.count("*"), F.count_distinct("event_id"), F.min("at")).first()
-        if facts[0] != facts[1]:
+        before = self.index(batch_id - 1)
+        tail = before.agg(F.max("last").alias("last")).select("last.*").first()
+        facts = records.agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"), F.count_if(instant(F.col("at")).isNull()).alias("odd"), F.min(place()).alias("least")).first()
+        if facts["odd"]:
+            raise OutOfOrder("a record has no valid time")
+        if facts["n"] != facts["ids"]:
             raise OutOfOrder("an event id is repeated")
-        if tail is not None and facts[2] is not None and facts[2] <= tail:
-            raise OutOfOrder(f"a record at {facts[2]} is not after {tail}")
-        merged(before, fold(records)).write.mode("overwrite").parquet(self.generation(batch_id))
-
-    def rebuild(self, journal: DataFrame, n: int) -> None:
-        fold(journal).write.mode("overwrite").parquet(self.generation(n))
+        if tail["t"] is not None and facts["n"] and tuple(facts["least"]) <= tuple(tail):
+            raise OutOfOrder(f"a record at {facts['least']['t']} is not after {tail['t']}")
+        if not records.select("event_id").join(self.ids(batch_id), "event_id", "left_semi").isEmpty():
+            raise OutOfOrder("an event id is known from an earlier batch")
+        self._write(merged(before, fold(records)), records, batch_id)
+
+    def rebuild(self, journal: DataFrame, batch_id: int) -> None:
+        """The generation of a refused batch, derived from the whole journal up to and with it; batch_id + 1 goes on from there."""
+        for n in range(batch_id):  # ids of earlier batches are in the journal too
+            self.spark.createDataFrame([], "event_id string").write.mode("overwrite").parquet(f"{self.path}/ids-{n:08d}")
+        self._write(fold(journal), journal, batch_id)
 
     def start(self, source: str, checkpoint: str, files_per_batch: int = 1) -> StreamingQuery:
         stream = self.spark.readStream.schema(JOURNAL).option("maxFilesPerTrigger", files_per_batch).json(source)
@@ -75,7 +102,22 @@ class Catchup:
 
 
 def sessions(parks: DataFrame) -> DataFrame:
-    """A stream of open and close events as intervals: the stream joined with itself on park_id, both sides watermarked."""
-    opened = parks.filter("event = 'open'").select(F.col("park_id"), F.col("ts").alias("st")).withWatermark("st", "1 day")
-    closed = parks.filter("event = 'close'").select(F.col("park_id").alias("closed_id"), F.col("ts").alias("en")).withWatermark("en", "1 day")
-    return opened.join(closed, F.expr("park_id = closed_id AND en >= st AND en <= st + INTERVAL 1 DAY")).select("park_id", "st", "en")
+    """A stream of open and close events (park_id, event, ts) as intervals, in update mode: a park appears with its start
+    when it opens, and again with its end when it closes, however long after. Open parks stay in the state, closed ones
+    leave it; a close that comes before its open waits for it."""
+
+    def run(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        st, en = state.get if state.exists else (None, None)
+        for frame in frames:
+            opens, closes = frame.loc[frame["event"] == "open", "us"], frame.loc[frame["event"] == "close", "us"]
+            st = st if opens.empty else int(opens.min()) if st is None else min(st, int(opens.min()))
+            en = en if closes.empty else int(closes.max()) if en is None else max(en, int(closes.max()))
+        if st is not None and en is not None:
+            state.remove()
+        else:
+            state.update((st, en))
+        yield pd.DataFrame({"park_id": [key[0]], "st": pd.array([st], dtype="Int64"), "en": pd.array([en], dtype="Int64")})
+
+    events = parks.select("park_id", "event", F.unix_micros("ts").alias("us"))
+    paired = events.groupBy("park_id").applyInPandasWithState(run, "park_id string, st bigint, en bigint", "st bigint, en bigint", "update", GroupStateTimeout.NoTimeout)
+    return paired.select("park_id", F.timestamp_micros("st").alias("st"), F.timestamp_micros("en").alias("en"))

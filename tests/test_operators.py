@@ -135,20 +135,80 @@ def test_mutations(spark):
     assert tree.orphans(log.state()).isEmpty()
 
 
+def test_names_compare_by_folded_form(spark):
+    log = tree.MutationLog(spark)
+    log.execute("1", "create-directory", entry_id="a", parent_id="/", name="Straße")
+    log.execute("2", "create-directory", entry_id="b", parent_id="/", name="e\u0301")
+    for name in ("STRASSE", "É"):
+        with pytest.raises(tree.Refusal, match="name-taken"):
+            log.execute("3", "create-directory", entry_id="c", parent_id="/", name=name)
+    assert [r["entry_id"] for r in tree.resolve(log.state(), ["strasse"]).collect()] == ["a"]
+    again = tree.MutationLog(spark, path=log.path)
+    assert again.revision == 2 and again.execute("2", "create-directory", entry_id="b", parent_id="/", name="e\u0301") == 2
+    names = spark.createDataFrame([("a", "/", "Straße", 1), ("b", "/", "strasse", 1), ("c", "/", "x", 1)], "entry_id string, parent_id string, name string, live int")
+    assert [(r["comparison_key"], r["n"]) for r in tree.sibling_conflicts(names).collect()] == [("strasse", 2)]
+    from sedimenta.operators.lookup import directory_page
+
+    page = directory_page(names.withColumn("kind", F.lit("file")), "/", "STRASSD", 1).collect()
+    assert [(r["entry_id"], r["next_name"]) for r in page] == [("a", "Straße")]
+
+
+def test_deep_and_odd_trees(spark):
+    """A chain of 300 levels, a cycle, an entry without its parent, a file as a parent."""
+    chain = [("e0", "directory", None, None)] + [(f"e{i}", "directory", f"e{i - 1}", f"n{i}") for i in range(1, 300)]
+    odd = [("x", "directory", "y", "x"), ("y", "directory", "x", "y"), ("z", "file", "nowhere", "z"), ("f", "file", "e2", "f"), ("g", "file", "f", "g")]
+    df = spark.createDataFrame(chain + odd, "entry_id string, kind string, parent_id string, name string").withColumn("live", F.lit(1))
+    found = {r["entry_id"]: (r["depth"], r["path"]) for r in tree.paths(df).collect()}
+    assert len(found) == 302 and found["e299"] == (299, "".join(f"/n{i}" for i in range(1, 300))) and found["g"] == (4, "/n1/n2/f/g")
+    below = {r["entry_id"]: r["level"] for r in tree.closure(df, "e150").collect()}
+    assert below == {f"e{150 + i}": i for i in range(150)}
+    assert {r["entry_id"] for r in tree.closure(df, "x").collect()} == {"x", "y"} and {r["entry_id"] for r in tree.closure(df, "e2").collect()} == {f"e{i}" for i in range(2, 300)} | {"f"}
+    assert {r["entry_id"] for r in tree.orphans(df).collect()} == {"x", "y", "z"}
+    up = tree.ancestors(df, df.filter("entry_id IN ('e3', 'x', 'z')"))
+    assert {(r["entry_id"], r["ancestor_id"], r["level"]) for r in up.collect()} == {("e3", "e3", 0), ("e3", "e2", 1), ("e3", "e1", 2), ("e3", "e0", 3), ("x", "x", 0), ("x", "y", 1), ("z", "z", 0), ("z", "nowhere", 1)}
+
+
+def test_disclosures_of_long_chains(spark):
+    edges = spark.createDataFrame([(f"c{i + 1}", f"c{i}") for i in range(70)], "owner string, cas_id string")
+    assert excise.disclosures(spark.createDataFrame([("c0",)], "cas_id string"), edges).count() == 71
+
+
+def test_rational_order(spark):
+    from sedimenta.functions.scalars import rational_order
+
+    ratios = [(1, 3), (333_333_333_333_333_333, 10**18), (-1, 3), (7, 2), (10**17, 3 * 10**17 - 1), (2, 6), (9_007_199_254_740_993, 2), (9_007_199_254_740_992, 2)]
+    from fractions import Fraction
+
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(ratios)], "i bigint, n bigint, d bigint").withColumn("key", rational_order(F.col("n"), F.col("d")))
+    got = [Fraction(r["n"], r["d"]) for r in df.orderBy("key", "i").collect()]
+    assert got == sorted(got) and df.select("key").distinct().count() == 7
+
+
+def test_union_in_buckets_is_the_same(spark):
+    df = spark.createDataFrame(random_spans(150, 9), SPAN)
+    one = {r["g"]: r["union_length"] for r in intervals.union_length(df).collect()}
+    assert one == {r["g"]: r["union_length"] for r in intervals.union_length(df, bucket=7).collect()}
+
+
 def test_entry_errors(spark):
-    rows = [("a", "file", "/", "ok.txt", 1, 1), ("b", "file", "/", "a/b", 1, 1), ("c", "link", "/", "", None, 2), ("d", "directory", "/", "x" * 256, 5, 1)]
+    rows = [("a", "file", "/", "ok.txt", 1, 1), ("b", "file", "/", "a/b", 1, 1), ("c", "link", "/", "", None, 2), ("d", "directory", "/", "x" * 256, 5, 1), ("e", "file", "/", "e\u0301", 1, 1), ("f", "file", "/", "a\x85", 1, 1)]
     df = spark.createDataFrame(rows, "entry_id string, kind string, parent_id string, name string, size bigint, live int")
     found = {r["entry_id"]: set(r["errors"]) for r in tree.entry_errors(df).collect()}
-    assert found == {"b": {"name-characters"}, "c": {"kind", "name-missing", "live"}, "d": {"name-length", "content"}}
+    assert found == {"b": {"name-characters"}, "c": {"kind", "name-missing", "live"}, "d": {"name-length", "content"}, "e": {"name-form"}, "f": {"name-characters"}}
 
 
 def test_strict_lines(spark):
-    good = '{"schema":"journal/2","event_id":"v1:0000000000000001","at":"2026-01-01T00:00:00Z","event":"ingest","cas_id":"sha256:%s","size":1,"media_type":"text/plain","source_root_id":"s","original_relpath":"a/b","batch":null,"outcome":"stored"}' % ("0" * 64)
+    good = '{"schema":"journal.v2","event_id":"uuid:123e4567-e89b-42d3-a456-426614174000","at":"2026-01-01T00:00:00Z","event":"ingest","cas_id":"sha256:%s","size":1,"media_type":"text/plain","source_root_id":"s","original_relpath":"a/b","batch":null,"outcome":"stored"}' % ("0" * 64)
     lines = [good, good.replace('"size":1', '"size":true'), good.replace('"batch":null', '"batch":null,"more":1'), good.replace('"batch":null,', ""), good.replace('"size":1', '"size":1,"size":2'), "[1]", "{", good.replace("a/b", "a/../b"), good.replace("00Z", "00+00:00"), good.replace('"size":1', '"size":1.5')]
     df = spark.createDataFrame([*enumerate(lines)], "ord bigint, line string")
     records, errors = validate.parsed(df)
     found = {r["ord"]: r["errors"] for r in errors.collect()}
     assert 0 not in found and set(found) == set(range(1, len(lines)))
+    for bad_id in ("123e4567-e89b-42d3-a456-426614174000", "v1:0000000000000001", "uuid:123e4567-e89b-12d3-a456-426614174000"):
+        odd = good.replace("uuid:123e4567-e89b-42d3-a456-426614174000", bad_id)
+        assert [r["errors"] for r in validate.parsed(spark.createDataFrame([(0, odd)], "ord bigint, line string"))[1].collect()] == ["event-id"]
+    migrated = good.replace("uuid:123e4567-e89b-42d3-a456-426614174000", "v1:0000000000000001:sha256:" + "a" * 64)
+    assert validate.parsed(spark.createDataFrame([(0, migrated)], "ord bigint, line string"))[1].isEmpty()
     assert found[1] == "size" and found[2] == "keys" and found[3] == "keys" and found[7] == "relpath" and found[8] == "time"
 
 
@@ -156,6 +216,7 @@ def test_names_and_canonical_forms():
     assert comparison_key("Straße") == comparison_key("STRASSE")
     assert comparison_key("é") == comparison_key("É")
     assert canonical_bytes('{"b":1,"a":"é"}') == '{"a":"é","b":1}\n'.encode()
+    assert canonical_bytes('{"a\\n":"\\u0001\\t\\"\\\\n/\\u007f"}') == b'{"a\\u000a":"\\u0001\\u0009\\"\\\\n/\x7f"}\n'
     for bad in ('{"a":1,"a":2}', "1.5", str(1 << 53), "[" * 70 + "]" * 70):
         with pytest.raises(ValueError):
             canonical_bytes(bad)
