@@ -66,3 +66,35 @@ def parks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chain_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event chains from conversations: chain, id, previous, state."""
     return table(spark, sf_dir, "conversations").selectExpr("conv_id AS chain", "concat(conv_id, ':', turn) AS id", "CASE WHEN turn > 0 THEN concat(conv_id, ':', turn - 1) END AS previous", "turn AS position", "role AS state")
+
+
+#: SQL for the eight hexadecimal digits of a span's cycle; it holds in Spark and in the oracle.
+CYCLE = "substr(md5(CAST(span_id % 40 AS STRING)), 1, 8)"
+
+
+def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A trace per user: a root over all the user's spans, which hang in chains of three below it."""
+    rows = spans(spark, sf_dir).withColumn("rn", F.expr("row_number() OVER (PARTITION BY g ORDER BY st, span_id)")).withColumn("before", F.expr("lag(span_id) OVER (PARTITION BY g ORDER BY st, span_id)"))
+    span = rows.selectExpr(
+        "g AS trace_id", "span_id", "CASE WHEN rn % 3 = 1 THEN -g - 1 ELSE before END AS parent_span_id",
+        "CASE category WHEN 'view' THEN 'gate' WHEN 'purchase' THEN 'reconciliation' WHEN 'signup' THEN 'wait' ELSE 'intelligence' END AS category",
+        f"CASE category WHEN 'view' THEN concat('gate.', span_id % 7) WHEN 'purchase' THEN concat(CASE span_id % 3 WHEN 0 THEN 'batch.commit.' WHEN 1 THEN 'batch.quarantine.' ELSE 'batch.telemetry-incomplete.' END, {CYCLE}) WHEN 'signup' THEN concat('checkpoint.cycle.', {CYCLE}) ELSE concat('role.cycle.', {CYCLE}) END AS operation",
+        "CASE WHEN span_id % 4 = 0 THEN 2 ELSE 1 END AS attempt", "CASE WHEN category = 'error' OR span_id % 11 = 0 THEN 'error' ELSE 'success' END AS outcome", "st", "en",
+        "elt(CAST(span_id % 3 + 1 AS INT), 'coder', 'planner', 'reviewer') AS role", "concat('m', span_id % 2) AS model", "concat('h', span_id % 5) AS harness",
+        "CASE WHEN span_id % 4 = 1 THEN concat('group', span_id % 3) END AS concurrency_group",
+        "CASE WHEN span_id % 6 = 0 THEN concat('l', span_id % 2) END AS token_ledger", f"CASE WHEN span_id % 6 = 0 THEN {CYCLE} END AS token_cycle", "CASE WHEN span_id % 6 = 0 THEN 'planner' END AS token_role",
+    )
+    facts = rows.groupBy("g").agg(F.min("st").alias("st"), F.max("en").alias("en"))
+    none = [f"CAST(NULL AS STRING) AS {c}" for c in ("role", "model", "harness", "concurrency_group", "token_ledger", "token_cycle", "token_role")]
+    root = facts.selectExpr("g AS trace_id", "-g - 1 AS span_id", "CAST(NULL AS BIGINT) AS parent_span_id", "'run' AS category", "concat('phase.', g % 12) AS operation", "1 AS attempt", "CASE WHEN g % 7 = 3 THEN 'error' ELSE 'success' END AS outcome", "st", "en", *none)
+    of_root = facts.selectExpr("g AS trace_id", "elt(CAST(g % 3 + 1 AS INT), 'improve-batch', 'checkpoint', 'kickoff') AS run_type", "CASE WHEN g % 4 = 0 THEN 'engine' ELSE 'project' END AS scope", "concat('b', g % 10) AS batch_id", "en AS finalized_at")
+    return span.unionByName(root).join(of_root, "trace_id")
+
+
+def expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An expected run for every third user; some never got a trace, some name one that is not there."""
+    users = table(spark, sf_dir, "events").select("user_id").distinct().filter("user_id % 3 < 2")
+    return users.selectExpr(
+        "user_id AS run_id", "CASE WHEN user_id % 5 = 0 THEN NULL WHEN user_id % 5 = 1 THEN user_id + 1000000 ELSE user_id END AS trace_id", "elt(CAST(user_id % 4 + 1 AS INT), 'trace-bound', 'incomplete', 'finalized', 'committed') AS lifecycle_state",
+        "CASE WHEN user_id % 2 = 0 THEN 'E1' END AS error_code", "substr(md5(CAST(user_id % 40 AS STRING)), 1, 8) AS cycle_id", "user_id * 1000 AS updated_at",
+    )

@@ -2,7 +2,7 @@
 
 import pytest
 
-from sedimenta import registry
+from sedimenta import catalog as registry
 from tests.oracle import connection, same
 
 SF = "/root/testdata/sf0.001"
