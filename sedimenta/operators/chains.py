@@ -75,3 +75,28 @@ def ready(events: DataFrame, dependencies: DataFrame, done: tuple[str, ...] = ("
     finished = heads(events).filter(F.col("state").isin(*done)).select(F.col("chain").alias("depends_on")).distinct()
     open_ones = dependencies.join(finished, "depends_on", "left_anti").select("chain").distinct()
     return dependencies.select("chain").distinct().join(open_ones, "chain", "left_anti")
+
+
+def families_of(paths: DataFrame, selectors: dict[str, list[str]]) -> DataFrame:
+    """Each changed path with the families whose selectors cover it; a path of none, or of several, widens the selection to all."""
+    families = F.array_compact(F.array(*(F.when(F.greatest(*(F.col("path").rlike(glob_to_regex(g)) for g in [*globs, globs[0]])), F.lit(name)) for name, globs in sorted(selectors.items()))))
+    return paths.select("path", families.alias("families")).withColumn("widens", F.size("families") != 1)
+
+
+def timings(measured: DataFrame, current: DataFrame, n: int = 5) -> DataFrame:
+    """Proofs without a measurement, measurements without a proof, and the n slowest of the rest: proof, kind, seconds."""
+    unmeasured = current.join(measured, "proof", "left_anti").select("proof", F.lit("unmeasured").alias("kind"), F.lit(None).cast("double").alias("seconds"))
+    gone = measured.join(current, "proof", "left_anti").select("proof", F.lit("gone").alias("kind"), "seconds")
+    slowest = measured.join(current, "proof", "left_semi").orderBy(F.col("seconds").desc(), "proof").limit(n).select("proof", F.lit("slowest").alias("kind"), "seconds")
+    return unmeasured.unionByName(gone).unionByName(slowest)
+
+
+def corrected(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """blocks: ord, hash, at, corrects (the hash of an earlier block, or NULL). (blocks whose times the corrections moved forward,
+    corrections that name no earlier block or more than one)."""
+    fixes = blocks.filter("corrects IS NOT NULL").select(F.col("ord").alias("fix"), F.col("at").alias("new_at"), F.col("corrects").alias("hash"))
+    named = fixes.join(blocks.select("hash", "ord"), "hash").filter(F.col("ord") < F.col("fix"))
+    single = named.groupBy("fix").agg(F.count("*").alias("n"), F.min("ord").alias("ord"), F.min("new_at").alias("new_at")).filter("n = 1")
+    bad = blocks.filter("corrects IS NOT NULL").join(single.select(F.col("fix").alias("ord")), "ord", "left_anti")
+    moved = single.groupBy("ord").agg(F.max("new_at").alias("new_at"))
+    return blocks.join(moved, "ord", "left").withColumn("at", F.greatest("at", F.coalesce("new_at", "at"))).drop("new_at"), bad

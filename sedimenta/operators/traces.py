@@ -256,9 +256,10 @@ def cross_scope(ledgers: dict[str, DataFrame], expectations: DataFrame, recent:
 def finalised(ledger: DataFrame, candidates: DataFrame) -> DataFrame:
     """The candidates' spans that the ledger lacks. A trace it holds with the same spans is done already; with others it is a conflict."""
     columns = candidates.columns
-    known = candidates.join(ledger.select("trace_id").distinct(), "trace_id", "left_semi").select(columns)
-    held = ledger.select(columns).join(known.select("trace_id").distinct(), "trace_id", "left_semi").select(columns)
-    odd = known.exceptAll(held).unionByName(held.exceptAll(known)).select("trace_id").distinct()
+    both = candidates.withColumn("__d", F.lit(1)).unionByName(ledger.select(columns).withColumn("__d", F.lit(-1)))
+    differing = both.groupBy(*columns).agg(F.sum("__d").alias("__d")).groupBy("trace_id").agg(F.max(F.col("__d") != 0).alias("differs"))
+    held, asked = (rows.select("trace_id").distinct() for rows in (ledger, candidates))
+    odd = differing.filter("differs").join(held, "trace_id", "left_semi").join(asked, "trace_id", "left_semi").select("trace_id")
     if found := odd.limit(5).collect():
         raise Conflict(f"held with other spans: {sorted(r[0] for r in found)}")
     return candidates.join(ledger.select("trace_id").distinct(), "trace_id", "left_anti")

@@ -269,3 +269,88 @@ def test_redaction_and_controls(spark):
     assert row["removed"] == 1 and [e["entry_id"] for e in row["entries"]] == ["2"]
     contents = spark.createDataFrame([("a", '{"schema":"snap/1"}'), ("b", "{"), ("c", '["snap/1"]')], "id string, content string")
     assert [r["id"] for r in onboard.control_documents(contents, "snap/1").collect()] == ["a"]
+
+
+def test_frames_and_proofs(spark):
+    import hashlib
+
+    from sedimenta.sources import framing
+
+    data = 'a\r\nbé\n\n\u2028x\x0by\x85z\rlast'.encode()
+    files = spark.createDataFrame([("j", bytearray(data)), ("bad", bytearray(b"\xff\n")), ("empty", bytearray(b""))], "path string, content binary")
+    frames = framing.framed(files)
+    rows = sorted((r["offset"], r["length"], r["line"]) for r in frames.filter("path = 'j'").collect())
+    assert "".join(x for _, _, x in rows).encode() == data and [x for _, _, x in rows] == data.decode().splitlines(keepends=True)
+    assert all(framing_bytes == data[o : o + n] for (o, n, x) in rows for framing_bytes in [x.encode()])
+    proofs = framing.proven(frames.drop("line"), files).collect()
+    assert all(r["proven"] and hashlib.sha256(r["found"]).hexdigest() == r["sha256"] for r in proofs)
+    moved = framing.proven(frames.filter("path = 'j'").withColumn("offset", F.col("offset") + 1), files)
+    assert not any(r["proven"] for r in moved.collect())
+    assert {r["path"]: (r["line"], r["terminated"]) for r in framing.tail(frames).collect()} == {"j": ("last", False), "bad": (None, False)}
+
+
+def test_first_format(spark, tmp_path):
+    import json
+
+    from sedimenta.sources.framing import read_v1_journal
+
+    good = {"at": "2026-01-01T00:00:00Z", "event": "ingest", "cas_id": "sha256:" + "0" * 64, "size": 1, "media_type": "t", "source_root_id": "s", "original_relpath": "a", "mtime": "m", "batch": None, "outcome": "stored"}
+    lines = [good, good | {"mtime": ""}, good | {"schema": "journal.v2"}, {k: v for k, v in good.items() if k != "batch"}, good | {"size": True}, good | {"original_relpath": "../x"}]
+    (tmp_path / "v1.jsonl").write_text("".join(json.dumps(x) + "\n" for x in lines))
+    records, errors = read_v1_journal(spark, str(tmp_path / "v1.jsonl"))
+    assert {r["ord"]: r["errors"] for r in errors.collect()} == {2: "mtime", 3: "already-migrated", 4: "keys", 5: "size", 6: "relpath"}
+    line = '{"at":"2026-01-01T00:00:00Z","batch":null,"cas_id":"sha256:%s","event":"ingest","media_type":"t","mtime":"m","original_relpath":"a","outcome":"stored","size":1,"source_root_id":"s"}' % ("0" * 64)
+    import hashlib
+
+    migrated = composites.migrate_v1(records.filter("ord = 1")).first()
+    assert migrated["event_id"] == f"v1:{1:016d}:sha256:{hashlib.sha256(line.encode()).hexdigest()}" and migrated["schema"] == "journal.v2"
+
+
+def test_ingest_of_a_folder(spark, tmp_path):
+    from sedimenta.sources.framing import ingest
+
+    for name, content in (("top.txt", "same"), ("nested/one.txt", "same"), ("nested/deep/two.dat", "other"), ("known.txt", "known")):
+        path = tmp_path / "in" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(content)
+    import hashlib
+
+    stored = spark.createDataFrame([("sha256:" + hashlib.sha256(b"known").hexdigest(),)], "cas_id string")
+    journal, objects, refused = ingest(spark, str(tmp_path / "in"), "root", stored, "2026-01-01T00:00:00Z", "b1")
+    rows = journal.orderBy("at").collect()
+    assert [(r["original_relpath"], r["outcome"]) for r in rows] == [("known.txt", "dedup"), ("nested/deep/two.dat", "stored"), ("nested/one.txt", "stored"), ("top.txt", "dedup")]
+    assert [r["at"] for r in rows] == [f"2026-01-01T00:00:00.{i:06d}Z" for i in range(1, 5)] and objects.count() == 2 and refused.isEmpty()
+    numbered = journal.withColumn("ord", F.monotonically_increasing_id())
+    assert validate.record_errors(numbered).isEmpty()
+    single = ingest(spark, str(tmp_path / "in" / "top.txt"), "root", stored, "2026-01-01T00:00:00Z")[0].collect()
+    assert [(r["original_relpath"], r["outcome"]) for r in single] == [("top.txt", "stored")]
+
+
+def test_requests_and_lifecycle(spark):
+    from sedimenta.operators import operations
+
+    request = {"operation_id": "1", "kind": "excise", "args": {"entry_ids": ["b", "a"]}}
+    same = {"operation_id": "2", "kind": "excise", "args": {"entry_ids": ["a", "b"]}}
+    assert operations.fingerprint(request, "s") == operations.fingerprint(same, "s") != operations.fingerprint(same | {"kind": "x"}, "s")
+    with pytest.raises(tree.Refusal, match="repeated"):
+        operations.normalised({"args": {"entry_ids": ["a", "a"]}})
+    assert [operations.lifecycle(m) for m in ({}, {"state": "retired"}, {"state": "x"}, {"state": "active"}, {"state": "active", "store_id": "s"})] == ["invalid", "retired", "not-active", "identity-required", None]
+    identity = dict(store_id="a", lineage_id="l", epoch_id="e", generation=1, predecessor_epoch_id=None)
+    assert excise.successor(identity, "b", "f") == dict(store_id="b", lineage_id="l", epoch_id="f", generation=2, predecessor_epoch_id="e")
+    ids = spark.createDataFrame([("x",)], "id string")
+    assert operations.in_any(ids, spark.createDataFrame([("y",), ("x",)], "id string")) and not operations.in_any(ids, spark.createDataFrame([("y",)], "id string"))
+
+
+def test_traces_finalise_once(spark):
+    from sedimenta.operators import traces
+
+    ledger = spark.createDataFrame([(1, 10, 5), (1, 11, 6), (2, 20, 7)], "trace_id bigint, span_id bigint, en bigint")
+    again = spark.createDataFrame([(1, 11, 6), (1, 10, 5), (3, 30, 8)], "trace_id bigint, span_id bigint, en bigint")
+    assert [r["trace_id"] for r in traces.finalised(ledger, again).collect()] == [3]
+    for odd in ([(1, 10, 5)], [(1, 10, 5), (1, 11, 7)]):
+        with pytest.raises(traces.Conflict):
+            traces.finalised(ledger, spark.createDataFrame(odd, ledger.schema))
+    open_ = spark.createDataFrame([(1, None, "run", 0, None, None), (2, 1, "gate", 5, None, None), (3, 1, "gate", 1, 2, "success")], "span_id bigint, parent_span_id bigint, category string, st bigint, en bigint, outcome string")
+    assert {(r["span_id"], r["en"], r["outcome"]) for r in traces.recovered(open_, 9).collect()} == {(1, 9, "interrupted"), (2, 9, "interrupted"), (3, 2, "success")}
+    with pytest.raises(traces.Conflict):
+        traces.recovered(open_.filter("span_id > 1"), 9)
