@@ -334,6 +334,33 @@ def test_surrogates_stay_distinct_across_genders_and_domains(spark):
     assert len(seen) == 4060 and not set(seen) & set(back)
 
 
+def test_surrogates_of_more_forms(spark):
+    """Scripts are kept; wider forms are found; a surname is replaced in the rest of its text; clean texts stay."""
+    from sedimenta.llm.surrogates import with_surrogates
+
+    texts = [
+        "to ivan.петров0@x.ru and анна@почта.рф now",
+        "Call (555) 123-4567 or fe80::1 or 2001:0db8:0000:0000:0000:ff00:0042:8329.",
+        "Dr. John Smith and Mr John Paul O'Brien-Lee met; Smith said so, Smithson did not. Ms Smith left.",
+        "IBAN DE89 3704 0044 0532 0130 00 is DE89370400440532013000, card 3782 822463 10005, key sk-abcdEFGH1234ijklMNOP5678",
+        "at 12:30:45 std::vector and a::b, (see 12) 2024-01-02 v1.2.3, AB12 is a code; sk-1",
+        "same (555) 123-4567 and sk-abcdEFGH1234ijklMNOP5678",
+    ]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string").withColumns({"n_entities": F.lit("x"), "kinds": F.lit("y")})
+    out = {r["doc_id"]: r for r in with_surrogates(df, "secret").collect()}
+    m = re.fullmatch(r"to ([a-z]{4})\.([а-я]{6})\d@([a-z])\.ru and ([а-я]{4})@([а-я]{5})\.рф now", out[0]["text"])
+    assert m and m[1] != "ivan" and m[2] != "петров" and m[3] != "x" and m[4] != "анна" and m[5] != "почта"
+    m = re.fullmatch(r"Call (\(\d{3}\) \d{3}-\d{4}) or ([0-9a-f]+::[0-9a-f]+) or ([0-9a-f]{1,5}(?::[0-9a-f]{1,5}){7})\.", out[1]["text"])
+    assert m and m[1] != "(555) 123-4567" and m[2] != "fe80::1" and not m[3].startswith("2001:")
+    m = re.fullmatch(r"Dr\. (\w+) (\w+) and Mr (\w+) (\w+) (\S+) met; (\w+) said so, Smithson did not\. Ms (\w+) left\.", out[2]["text"])
+    assert m and m[2] == m[6] == m[7] != "Smith" and "Brien" not in out[2]["text"] and m[4] != "Paul"
+    m = re.fullmatch(r"IBAN (DE\d\d(?: \d{4}){4} \d\d) is (DE\d{20}), card (\d{4} \d{6} \d{5}), key (sk-\S{24})", out[3]["text"])
+    assert m and m[1].replace(" ", "") == m[2] != "DE89370400440532013000" and m[3] != "3782 822463 10005" and m[4] != "sk-abcdEFGH1234ijklMNOP5678"
+    assert out[4]["text"] == texts[4] and out[4]["n_entities"] == 0
+    assert out[5]["text"].split()[1:3] == re.search(r"\(\d{3}\) \S+", out[1]["text"])[0].split() and out[5]["text"].endswith(m[4])
+    assert [out[i]["n_entities"] for i in range(6)] == [2, 3, 3, 4, 0, 2]
+
+
 def test_chat_parts(spark):
     from sedimenta.llm.chat import PART, format_chat, read_back
 
