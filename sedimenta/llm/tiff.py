@@ -1,7 +1,9 @@
 """TIFF: a reader that walks image directories and yields one row per page, and a writer for lossless 8-bit samples.
 
-The reader takes both byte orders, strips and tiles, chunky and planar samples, and the compressions none (1), LZW (5),
-deflate (8 and 32946) and PackBits (32773), and undoes the horizontal predictor (2) for 8- and 16-bit samples. A
+The reader takes both byte orders, offsets of 32 and of 64 bits, strips and tiles, chunky and planar samples of 1, 2, 4, 8,
+16 and 32 bits, bytes filled from either end, and the compressions none (1), LZW (5), deflate (8 and 32946) and PackBits
+(32773), and undoes the horizontal predictor (2) for samples of 8 bits and more. Samples of less than 8 bits come as a
+byte each. Images that a page refers to as its own (thumbnails, reduced sizes) are no pages and are not emitted. A
 directory that cannot be read gives one row with `error` set, and the walk goes on with the next where its place is
 known; a loop of directories ends the walk. Bytes that are no TIFF, empty or null give one row with `error`.
 
@@ -22,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # Fixed values of the format: tag numbers, the sizes of field types, and compressions.
-WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
+WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, FILL_ORDER, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 266, 273, 277, 278, 279, 284, 317
 TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 322, 323, 324, 325
-TYPE_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4}
+TYPE_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4, 16: 8}
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 CLEAR, END = 256, 257
+MIRRORED = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
 
 
 class TiffError(ValueError):
@@ -178,26 +181,33 @@ def decompress(data: bytes, compression: int, expected: int) -> bytes:
 def directories(data: bytes) -> Iterator[tuple[dict[int, list[int]] | None, str | None, str]]:
     """(fields, error, byte order) of each directory, in file order."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or len(data) < 8 or struct.unpack_from(f"{order}H", data, 2)[0] != 42:
+    magic = struct.unpack_from(f"{order}H", data, 2)[0] if order and len(data) >= 16 else 0
+    if magic not in (42, 43):
         raise TiffError("not a TIFF")
-    at, seen = struct.unpack_from(f"{order}I", data, 4)[0], set()
+    place, number, entry, inline = ("Q", "Q", 20, 8) if magic == 43 else ("I", "H", 12, 4)  # 43: offsets of 64 bits
+    width = struct.calcsize(f"{order}{number}")
+    at, seen = struct.unpack_from(f"{order}{place}", data, inline)[0], set()
     while at:
         if at in seen:
             yield None, "directories form a loop", order
             return
         seen.add(at)
         try:
-            n = struct.unpack_from(f"{order}H", data, at)[0]
+            n = struct.unpack_from(f"{order}{number}", data, at)[0]
+            if n * entry > len(data):
+                raise struct.error
             fields: dict[int, list[int]] = {}
             for k in range(n):
-                place = at + 2 + 12 * k
-                tag, kind, count = struct.unpack_from(f"{order}HHI", data, place)
+                here = at + width + entry * k
+                tag, kind, count = struct.unpack_from(f"{order}HH{place}", data, here)
                 size = TYPE_SIZES.get(kind, 0) * count
-                if kind not in (1, 3, 4) or size > len(data):
+                if kind not in (1, 3, 4, 16) or size > len(data):
                     continue
-                start = place + 8 if size <= 4 else struct.unpack_from(f"{order}I", data, place + 8)[0]
-                fields[tag] = list(struct.unpack_from(f"{order}{count}{ {1: 'B', 3: 'H', 4: 'I'}[kind]}", data, start))
-            after = struct.unpack_from(f"{order}I", data, at + 2 + 12 * n)[0]
+                start = here + 4 + inline
+                if size > inline:
+                    start = struct.unpack_from(f"{order}{place}", data, start)[0]
+                fields[tag] = list(struct.unpack_from(f"{order}{count}{ {1: 'B', 3: 'H', 4: 'I', 16: 'Q'}[kind]}", data, start))
+            after = struct.unpack_from(f"{order}{place}", data, at + width + entry * n)[0]
         except struct.error:
             yield None, "a directory is cut off", order
             return
@@ -209,10 +219,18 @@ def unpredicted(block: np.ndarray, bits: int, order: str) -> np.ndarray:
     """block: rows, width, bytes of a pixel's samples by sample; differences along a row are summed."""
     if bits == 8:
         return np.cumsum(block, axis=1, dtype=np.uint8)
-    wide = np.cumsum(block.view(f"{order}u2"), axis=1, dtype=np.uint16).astype(f"{order}u2")
+    unit = bits // 8
+    wide = np.cumsum(block.view(f"{order}u{unit}"), axis=1, dtype=f"u{unit}").astype(f"{order}u{unit}")
     return wide.view(np.uint8)
 
 
+def spread(raw: bytes, rows: int, across: int, bits: int) -> np.ndarray:
+    """Rows of samples of less than a byte, each row padded to bytes, as a byte each."""
+    packed = np.frombuffer(raw, np.uint8).reshape(rows, -1)
+    parts = [(packed >> (8 - bits * (k + 1))) & ((1 << bits) - 1) for k in range(8 // bits)]
+    return np.stack(parts, axis=2).reshape(rows, -1)[:, :across]
+
+
 def decode_page(data: bytes, fields: dict[int, list[int]], order: str, max_page_bytes: int) -> bytes:
     def one(tag: int, default: int | None = None) -> int:
         value = fields.get(tag) or ([default] if default is not None else None)
@@ -222,11 +240,12 @@ def decode_page(data: bytes, fields: dict[int, list[int]], order: str, max_page_
 
     width, height, bits, samples = one(WIDTH), one(HEIGHT), one(BITS, 1), one(SAMPLES, 1)
     compression, predictor, planar = one(COMPRESSION, 1), one(PREDICTOR, 1), one(PLANAR, 1)
-    if bits not in (8, 16) or any(b != bits for b in fields.get(BITS, [bits])):
+    if bits not in (1, 2, 4, 8, 16, 32) or any(b != bits for b in fields.get(BITS, [bits])):
         raise TiffError(f"{bits} bits a sample are not read")
-    if predictor not in (1, 2):
+    if predictor not in (1, 2) or (predictor == 2 and bits < 8):
         raise TiffError(f"predictor {predictor} is not read")
-    unit = bits // 8
+    unit = max(1, bits // 8)
+    mirrored = one(FILL_ORDER, 1) == 2
     if width * height * samples * unit > max_page_bytes:
         raise TiffError("the page is larger than max_page_bytes")
     planes, deep = (samples, 1) if planar == 2 else (1, samples)
@@ -247,11 +266,13 @@ def decode_page(data: bytes, fields: dict[int, list[int]], order: str, max_page_
             y, x = k // across * th, k % across * tw
             rows = th if tiled else min(th, height - y)
             i = p * across * down + k
-            size = rows * tw * deep * unit
-            raw = decompress(data[offsets[i] : offsets[i] + counts[i]], compression, size)
+            size = rows * -(-tw * deep * bits // 8)
+            stored = data[offsets[i] : offsets[i] + counts[i]]
+            raw = decompress(stored.translate(MIRRORED) if mirrored else stored, compression, size)
             if len(raw) < size:
                 raise TiffError("a strip or tile is cut off")
-            block = np.frombuffer(raw[:size], np.uint8).reshape(rows, tw, deep * unit)
+            samples_of = spread(raw[:size], rows, tw * deep, bits) if bits < 8 else np.frombuffer(raw[:size], np.uint8)
+            block = samples_of.reshape(rows, tw, deep * unit)
             if predictor == 2:
                 block = unpredicted(np.ascontiguousarray(block), bits, order)
             h, w = min(rows, height - y), min(tw, width - x)
