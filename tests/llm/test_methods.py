@@ -242,6 +242,64 @@ def test_tiff_codings():
                     assert found[0]["pixels"] == image.tobytes() and found[1]["pixels"] == image[:3, :5, :1].tobytes()
 
 
+def test_tiff_of_fixed_bytes():
+    """Codes and files written out by hand: the format's own examples, and forms that the writer does not write."""
+    import struct
+    import zlib
+
+    from sedimenta.llm import tiff
+
+    packed = bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA")
+    assert tiff.unpack_bits(packed, 24) == bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22" + "AA" * 10)
+    codes = "".join(f"{c:09b}" for c in (256, 7, 258, 8, 8, 258, 6, 6, 257))
+    data = int(codes.ljust(-(-len(codes) // 8) * 8, "0"), 2).to_bytes(-(-len(codes) // 8), "big")
+    assert tiff.unpack_lzw(data, 9) == bytes((7, 7, 7, 8, 8, 7, 7, 6, 6))
+
+    def file(fields, strips, order="<", big=False):
+        """fields: tag to (type, values); offsets and counts of strips are added."""
+        head = 16 if big else 8
+        at, body, offsets = head, b"", []
+        for strip in strips:
+            offsets.append(at + len(body))
+            body += strip
+        fields = fields | {273: (4, offsets), 279: (4, [len(x) for x in strips])}
+        place, number, inline = ("Q", "Q", 8) if big else ("I", "H", 4)
+        entries, extra, directory = b"", b"", head + len(body)
+        after = directory + struct.calcsize(order + number) + len(fields) * (20 if big else 12) + inline
+        for tag, (kind, values) in sorted(fields.items()):
+            raw = struct.pack(f"{order}{len(values)}{ {3: 'H', 4: 'I'}[kind]}", *values)
+            if len(raw) > inline:
+                raw, extra = struct.pack(order + place, after + len(extra)), extra + raw
+            entries += struct.pack(f"{order}HH{place}", tag, kind, len(values)) + raw.ljust(inline, b"\0")
+        start = {"<": b"II", ">": b"MM"}[order] + (struct.pack(f"{order}HHHQ", 43, 8, 0, directory) if big else struct.pack(f"{order}HI", 42, directory))
+        return start + body + struct.pack(order + number, len(fields)) + entries + struct.pack(order + place, 0) + extra
+
+    def only(data):
+        (page,) = tiff.pages(data)
+        assert page["error"] is None, page
+        return page["pixels"]
+
+    base = {256: (4, [10]), 257: (4, [2]), 259: (3, [1]), 277: (3, [1]), 278: (4, [1])}
+    rows = [0b1011000011000000, 0b0000000101000000]
+    bilevel = [struct.pack(">H", r) for r in rows]
+    wanted = bytes(int(b) for r in rows for b in f"{r:016b}"[:10])
+    for order in "<>":
+        for big in (False, True):
+            assert only(file(base | {258: (3, [1])}, bilevel, order, big)) == wanted
+            assert only(file(base | {258: (3, [1]), 266: (3, [2])}, [bytes(int(f"{b:08b}"[::-1], 2) for b in x) for x in bilevel], order, big)) == wanted
+    nibbles = [bytes.fromhex("0123456789"), bytes.fromhex("ABCDEF0123")]
+    assert only(file(base | {258: (3, [4])}, nibbles)) == bytes(int(c, 16) for x in nibbles for c in x.hex())
+    for bits, kind in ((16, "H"), (32, "I")):
+        for order in "<>":
+            values = [[(7919 * (x + 1) * (y + 3)) % 2**bits for x in range(10)] for y in range(2)]
+            steps = [[v[0]] + [(b - a) % 2**bits for a, b in zip(v, v[1:], strict=False)] for v in values]
+            strips = [zlib.compress(struct.pack(f"{order}10{kind}", *v)) for v in steps]
+            assert only(file(base | {258: (3, [bits]), 259: (3, [32946]), 317: (3, [2])}, strips, order)) == b"".join(struct.pack(f"{order}10{kind}", *v) for v in values)
+    planes = [bytes(range(10)), bytes(range(10, 20)), bytes(range(20, 30)), bytes(range(30, 40))]
+    split = file(base | {258: (3, [8, 8]), 277: (3, [2]), 284: (3, [2])}, planes)
+    assert only(split) == bytes(planes[s + y][x] for y in range(2) for x in range(10) for s in (0, 2))
+
+
 def test_tiff_of_damaged_files(spark):
     from sedimenta.llm import tiff
 
