@@ -7,7 +7,7 @@
    that text is moved. Where two contents share a hash (`hash_bits` is 63; tests lower it), their rank within the hash
    becomes part of the identifier.
 3. A text's recipe is the ordered list of its chunk identifiers; two texts are equal exactly if their recipes are.
-   Recipes, not texts, are grouped and joined. The join back to all documents is salted, for a hot group.
+   Recipes, not texts, are grouped and joined. The join back to all documents is salted by row, for a hot group.
 
 Defined results: a null text is empty; the empty recipe is a recipe; of equal texts the largest doc_id stays, null ids
 last; rows that repeat id and text are copies of one document and share its fate (each is kept if the id is keep_id);
@@ -98,7 +98,7 @@ def exact_duplicates(documents: DataFrame, **chunking: int) -> DataFrame:
     rows = verified(found)
     groups = rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
     groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    salted = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
     joined = salted.join(groups, ["recipe", "salt"], "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
