@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sedimenta.operators.lineage import cut
+
 TRANSITIONS = (("system", "user"), ("user", "assistant"), ("assistant", "user"))
 
 
@@ -24,9 +26,15 @@ def violations(events: DataFrame, transitions: tuple[tuple[str, str], ...] = TRA
 
 
 def regressions(rows: DataFrame, at: str, order: str, by: str | None = None) -> DataFrame:
-    """Rows earlier than the row before them."""
-    w = Window.partitionBy(by if by else F.lit(1)).orderBy(order)
-    return rows.withColumn("before", F.lag(at).over(w)).filter(F.col(at) < F.col("before"))
+    """Rows earlier than the row before them; without groups, ranges of the order are compared side by side, and each range's
+    first row with the last of the range before it."""
+    if by:
+        return rows.withColumn("before", F.lag(at).over(Window.partitionBy(by).orderBy(order))).filter(F.col(at) < F.col("before"))
+    parts = cut(rows.repartitionByRange(order).withColumn("__part", F.spark_partition_id()))
+    edges = parts.groupBy("__part").agg(F.max_by(at, order).alias("__last"))
+    edges = edges.withColumn("__edge", F.lag("__last").over(Window.orderBy("__part"))).drop("__last")  # a row per range
+    inside = parts.withColumn("before", F.lag(at).over(Window.partitionBy("__part").orderBy(order))).join(F.broadcast(edges), "__part")
+    return inside.withColumn("before", F.coalesce("before", "__edge")).filter(F.col(at) < F.col("before")).drop("__part", "__edge")
 
 
 def blocks(lines: DataFrame, header: str) -> DataFrame:

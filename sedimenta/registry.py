@@ -322,6 +322,7 @@ def odd_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 simple("chain_violations", odd_chains, chains.violations, f"""WITH {ODD}, B AS (SELECT DISTINCT id AS previous, state AS from_state FROM CE), V AS (SELECT chain, id, from_state, state, CASE WHEN from_state IS NULL THEN 'previous missing' WHEN NOT ((from_state = 'system' AND state = 'user') OR (from_state = 'user' AND state = 'assistant') OR (from_state = 'assistant' AND state = 'user')) THEN 'transition' END AS fault
   FROM CE LEFT JOIN B USING (previous) WHERE CE.previous IS NOT NULL) SELECT * FROM V WHERE fault IS NOT NULL""")
 simple("chronology_regressions", spans, lambda s: chains.regressions(s.withColumn("at", F.col("en")), "at", "span_id", "g").select("g", "span_id", "at", "before"), f"WITH {S}, L AS (SELECT g, span_id, en AS at, lag(en) OVER (PARTITION BY g ORDER BY span_id) AS before FROM S) SELECT * FROM L WHERE at < before")
+simple("regressions_overall", spans, lambda s: chains.regressions(s.withColumn("at", F.col("en")), "at", "span_id").select("span_id", "at", "before"), f"WITH {S}, L AS (SELECT span_id, en AS at, lag(en) OVER (ORDER BY span_id) AS before FROM S) SELECT * FROM L WHERE at < before")
 FAMILIES = {"english": ["en/*"], "romance": ["fr/*", "es/*"], "threes": ["*/3?.txt", "*/3.txt"]}
 simple("glob_selectors", journal, lambda j: chains.selected(j.select("event_id", "original_relpath"), FAMILIES, "original_relpath").groupBy("family").agg(F.count("*").alias("n")), f"""WITH {J} SELECT 'english' AS family, count(*) AS n FROM J WHERE original_relpath GLOB 'en/*' UNION ALL SELECT 'romance', count(*) FROM J WHERE original_relpath GLOB 'fr/*' OR original_relpath GLOB 'es/*'
   UNION ALL SELECT 'threes', count(*) FROM J WHERE regexp_full_match(original_relpath, '.*/3.?\\.txt')""")
