@@ -1,10 +1,11 @@
 """Incremental index maintenance: new journal records are folded in as they come; late or repeated ones stop the stream.
 
 The index lives in generations, a folder each of Parquet, named by batch. A batch reads the one before it, checks its
-records against the tail (the greatest (instant, event_id) so far; instants are compared, not their texts) and against
-all event ids of earlier batches, folds them, and writes its generation and its ids; a repeated batch writes the same
-ones again. Records at or before the tail and known ids are not dropped: they raise, and the caller derives the batch's
-generation from the whole journal by `rebuild`, which the next batch then follows.
+records against the tail (the greatest (instant, event_id) so far; instants are compared, not their texts), against all
+event ids of earlier batches and against the sizes and media types on record, folds them, and writes its generation of
+objects and names, and its ids; a repeated batch writes the same ones again. Records at or before the tail, known ids and
+changes that are no refinement are not dropped: they raise, and the caller derives the batch's generation from the whole
+journal by `rebuild`, which the next batch then follows.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sedimenta.functions.scalars import instant
-from sedimenta.schemas import JOURNAL
+from sedimenta.operators.index import media_conflicts
+from sedimenta.schemas import JOURNAL, NAMES, REFINEMENTS
 
 
 class OutOfOrder(RuntimeError):
@@ -44,6 +46,28 @@ def merged(index: DataFrame, new: DataFrame) -> DataFrame:
     return both.groupBy("cas_id").agg(F.min("size").alias("size"), F.max_by("media_type", "__new").alias("media_type"), F.min_by("first_seen_utc", "__new").alias("first_seen_utc"), F.min_by("batch", "__new").alias("batch"), F.sum("records").alias("records"), F.max("last").alias("last"))
 
 
+def fold_names(records: DataFrame) -> DataFrame:
+    return records.groupBy("cas_id", "source_root_id", "original_relpath").agg(F.min_by("at", place()).alias("recorded_utc"))
+
+
+def merged_names(names: DataFrame, new: DataFrame) -> DataFrame:
+    """Names that are known stay as they were first seen."""
+    fresh = new.join(names, ["cas_id", "source_root_id", "original_relpath"], "left_anti")
+    return names.unionByName(fresh)
+
+
+def object_conflicts(index: DataFrame, records: DataFrame) -> DataFrame:
+    """Objects to which the records give another size, or a media type that does not refine the one before it: cas_id."""
+    known = index.select("cas_id", F.col("size").alias("__size"), F.col("media_type").alias("__media"))
+    first = records.groupBy("cas_id").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.min_by("media_type", place()).alias("media"))
+    refines = F.col("__media") == F.col("media")
+    for old, new in REFINEMENTS:
+        refines = refines | ((F.col("__media") == old) & (F.col("media") == new))
+    across = first.join(known, "cas_id").filter(~refines | (F.col("least") != F.col("__size"))).select("cas_id")
+    sizes = first.filter("least <> most").select("cas_id")
+    return across.unionByName(sizes).unionByName(media_conflicts(records.withColumn("ord", place())).select("cas_id")).distinct()
+
+
 class Catchup:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -56,6 +80,11 @@ class Catchup:
             n = self.latest()
         return self.spark.read.schema(STATE).parquet(self.generation(n)) if n >= 0 else self.spark.createDataFrame([], STATE)
 
+    def names(self, n: int | None = None) -> DataFrame:
+        if n is None:
+            n = self.latest()
+        return self.spark.read.schema(NAMES).parquet(f"{self.path}/names-{n:08d}") if n >= 0 else self.spark.createDataFrame([], NAMES)
+
     def latest(self) -> int:
         jvm = self.spark.sparkContext._jvm
         folder = jvm.org.apache.hadoop.fs.Path(self.path)
@@ -71,7 +100,8 @@ class Catchup:
         paths = [f"{self.path}/ids-{n:08d}" for n in range(before)]
         return self.spark.read.schema("event_id string").parquet(*paths) if paths else self.spark.createDataFrame([], "event_id string")
 
-    def _write(self, index: DataFrame, records: DataFrame, batch_id: int) -> None:
+    def _write(self, index: DataFrame, names: DataFrame, records: DataFrame, batch_id: int) -> None:
+        names.write.mode("overwrite").parquet(f"{self.path}/names-{batch_id:08d}")
         records.select("event_id").write.mode("overwrite").parquet(f"{self.path}/ids-{batch_id:08d}")
         index.write.mode("overwrite").parquet(self.generation(batch_id))
 
@@ -88,13 +118,15 @@ class Catchup:
             raise OutOfOrder(f"a record at {facts['least']['t']} is not after {tail['t']}")
         if not records.select("event_id").join(self.ids(batch_id), "event_id", "left_semi").isEmpty():
             raise OutOfOrder("an event id is known from an earlier batch")
-        self._write(merged(before, fold(records)), records, batch_id)
+        if found := object_conflicts(before, records).limit(3).collect():
+            raise OutOfOrder(f"objects change in a way that is no refinement: {[r[0] for r in found]}")
+        self._write(merged(before, fold(records)), merged_names(self.names(batch_id - 1), fold_names(records)), records, batch_id)
 
     def rebuild(self, journal: DataFrame, batch_id: int) -> None:
         """The generation of a refused batch, derived from the whole journal up to and with it; batch_id + 1 goes on from there."""
         for n in range(batch_id):  # ids of earlier batches are in the journal too
             self.spark.createDataFrame([], "event_id string").write.mode("overwrite").parquet(f"{self.path}/ids-{n:08d}")
-        self._write(fold(journal), journal, batch_id)
+        self._write(fold(journal), fold_names(journal), journal, batch_id)
 
     def start(self, source: str, checkpoint: str, files_per_batch: int = 1) -> StreamingQuery:
         stream = self.spark.readStream.schema(JOURNAL).option("maxFilesPerTrigger", files_per_batch).json(source)

@@ -6,7 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.errors import StreamingQueryException
 
-from sedimenta.schemas import JOURNAL
+from sedimenta.schemas import DOCX, JOURNAL
 from sedimenta.streaming.catchup import Catchup, OutOfOrder, fold, sessions
 
 
@@ -21,7 +21,7 @@ def put(folder, name: str, rows: list[dict]) -> None:
 
 def test_catch_up_equals_fold(spark, tmp_path):
     source, index = tmp_path / "in", Catchup(spark, str(tmp_path / "index"))
-    rows = [record(i, i % 5, "application/zip" if i < 4 else "text/plain") for i in range(30)]
+    rows = [record(i, i % 5, "application/zip" if i < 4 else "text/plain" if i % 5 == 4 else DOCX) for i in range(30)]
     for k in range(3):
         put(source, f"{k}.json", rows[10 * k : 10 * k + 10])
         query = index.start(str(source), str(tmp_path / "checkpoint"))
@@ -55,6 +55,18 @@ def test_times_are_compared_as_instants_and_ids_are_known(spark, tmp_path):
         index.apply(batch(record(10, 3) | {"event_id": late["event_id"]}), 5)
 
 
+def test_names_and_media_across_batches(spark, tmp_path):
+    index = Catchup(spark, str(tmp_path / "index"))
+    batch = lambda *rows: spark.createDataFrame([tuple(r[f] for f in JOURNAL.fieldNames()) for r in rows], JOURNAL)
+    index.apply(batch(record(1, 1, "application/zip"), record(2, 2)), 0)
+    index.apply(batch(record(3, 1, DOCX), record(4, 1, DOCX) | {"original_relpath": "p1"}), 1)
+    assert {r["cas_id"]: r["media_type"] for r in index.index().collect()} == {"sha256:1": DOCX, "sha256:2": "text/plain"}
+    assert sorted((r["original_relpath"], r["recorded_utc"][-3:]) for r in index.names().collect()) == [("p1", "01Z"), ("p2", "02Z"), ("p3", "03Z")]
+    for odd in (record(5, 1, "text/plain"), record(5, 2) | {"size": 9}):
+        with pytest.raises(OutOfOrder, match="refinement"):
+            index.apply(batch(odd), 2)
+
+
 def test_sessions_of_any_length(spark, tmp_path):
     """A park of three days, one that stays open, and a close that comes before its open."""
     schema = "park_id string, event string, ts timestamp"
