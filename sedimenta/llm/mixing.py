@@ -174,5 +174,6 @@ def mixed(documents: DataFrame, **options: object) -> DataFrame:
     keep = [c for c in documents.columns if c not in ("doc_id", "source")]
     rows = sized(documents, *(F.col(c).alias(f"__c{i}") for i, c in enumerate(keep)))
     copies = with_copies(rows.select("uid", "doc_id", "source", "size"), **options).select("uid", "copies").filter("copies > 0")
-    back = rows.join(copies, "uid").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    # copies grow with the corpus, so they are never broadcast, however few they are
+    back = rows.join(copies.hint("merge"), "uid").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return back.select(*(F.col(c) if c in ("doc_id", "source") else F.col(f"__c{keep.index(c)}").alias(c) for c in documents.columns))
