@@ -37,6 +37,11 @@ BITS, ROUNDS, TIE_ROUNDS = 12, 3, 2
 BUCKETS = 1 << BITS
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """A table of a row per source, in few files: it is read in every round."""
+    return persisted(df.coalesce(8), name)
+
+
 def ranked(sources: DataFrame) -> DataFrame:
     """sources with rank, from 0 in the order of source, null last: ranges of sources are numbered side by side."""
     parts = persisted(sources.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()), "ranges")
@@ -49,7 +54,7 @@ def ranked(sources: DataFrame) -> DataFrame:
 def with_targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = 1.5, most: float = 2.0) -> DataFrame:
     """sources: source, words, docs. Adds weight, target."""
     place = (F.col("rank") % len(weights) + 1).cast("int")
-    weighted = persisted(ranked(sources).withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), place)).drop("rank"), "sources")
+    weighted = kept(ranked(sources).withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), place)).drop("rank"), "sources")
     total = weighted.agg(F.sum("words")).first()[0] or 0
     goal = budget * total
     level = 0.0
@@ -70,7 +75,7 @@ def tilted(histogram: DataFrame, sources: DataFrame, most: float = 2.0, toleranc
     approached by doubling; what misses the target by less than `tolerance` of the source's words is left to the rounding.
     """
     share = F.when(F.col("words") > 0, F.col("target") / F.col("words")).otherwise(F.lit(0.0))
-    params = persisted(sources.withColumn("share", share).withColumn("mean", F.greatest(F.col("words") / F.col("docs"), F.lit(1e-9))).withColumn("tilt", F.lit(0.0)).withColumn("open", inner(most)), "params")
+    params = kept(sources.withColumn("share", share).withColumn("mean", F.greatest(F.col("words") / F.col("docs"), F.lit(1e-9))).withColumn("tilt", F.lit(0.0)).withColumn("open", inner(most)), "params")
     own = params.columns
     x = F.col("size") / F.col("mean")
     rate, _ = rates(most)
@@ -85,7 +90,7 @@ def tilted(histogram: DataFrame, sources: DataFrame, most: float = 2.0, toleranc
         step = F.when(F.col("slope") > 0, F.col("miss") / F.col("slope")).otherwise(F.signum("miss") * longest)
         step = F.greatest(F.least(step, longest), -longest)
         moved = F.when(far, F.col("tilt") - step).otherwise(F.col("tilt"))
-        params = persisted(joined.select(*(c for c in own if c not in ("tilt", "open")), moved.alias("tilt"), F.coalesce(far, F.lit(False)).alias("open")), "params")
+        params = kept(joined.select(*(c for c in own if c not in ("tilt", "open")), moved.alias("tilt"), F.coalesce(far, F.lit(False)).alias("open")), "params")
         if params.filter("open").isEmpty():
             break
     return params.drop("open")
@@ -106,7 +111,7 @@ def cuts(open_: DataFrame, left: DataFrame) -> DataFrame:
     """source, cut, left: in each source the rows with place < cut fit together, and what they leave. open_: source, size, place."""
     left = left.select("source", "left", F.lit(0).cast("bigint").alias("cut"), F.lit(True).alias("deeper"))
     for k in reversed(range(ROUNDS + TIE_ROUNDS)):  # digits of the last place that fits, from the highest
-        left = persisted(left, "left")
+        left = kept(left, "left")
         if left.filter("deeper").isEmpty():
             return left
         at = open_.join(left.withColumnRenamed("source", "__s").drop("left").filter("deeper"), F.col("source").eqNullSafe(F.col("__s")))
@@ -120,7 +125,7 @@ def cuts(open_: DataFrame, left: DataFrame) -> DataFrame:
         # where every bucket fits, the cut lies past all of them; a bucket of one row need not be searched
         cut = F.col("cut0") + F.when(F.col("deeper0"), F.coalesce("over.digit", F.lit(BUCKETS)) * F.lit(1 << BITS * k)).otherwise(F.lit(0))
         left = left.select("source", (F.col("left0") - F.coalesce("taken", F.lit(0))).alias("left"), cut.cast("bigint").alias("cut"), (F.coalesce("over.n", F.lit(0)) > 1).alias("deeper"))
-    return persisted(left, "left")
+    return kept(left, "left")
 
 
 def with_copies(sized: DataFrame, key: str = "mix", weights: tuple[float, ...] = WEIGHTS, budget: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -144,10 +149,10 @@ def with_copies(sized: DataFrame, key: str = "mix", weights: tuple[float, ...] =
     fresh, further = F.col("order").isNotNull() & ~F.col("topped"), (F.col("copies") < int(most)) & (F.col("size") > 0)
     fits = F.col("size") <= F.col("left")
     for turn in count():
-        left = persisted(left, "left")
+        left = kept(left, "left")
         at = chosen.join(left.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s").filter(fits)
         turns = at.filter("size > 0").groupBy("source").agg(F.coalesce(F.max(fresh), F.lit(False)).alias("by_order"), F.max(fresh | further).alias("any")).filter("any")
-        turns = persisted(turns.select(F.col("source").alias("__s"), "by_order"), "turns")
+        turns = kept(turns.select(F.col("source").alias("__s"), "by_order"), "turns")
         if turns.isEmpty():
             break
         tie = F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(1 << BITS * TIE_ROUNDS))
