@@ -1,7 +1,14 @@
 """Interval analytics over spans: unions, concurrency, attribution, parks."""
 
+import heapq
+from collections.abc import Iterable, Iterator
+from itertools import batched, groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def union_length(spans: DataFrame, by: str = "g", bucket: int | None = None) -> DataFrame:
@@ -30,20 +37,71 @@ def peak_concurrency(spans: DataFrame, by: str = "g") -> DataFrame:
     return net.withColumn("open", running).groupBy(by).agg(F.greatest(F.max("open"), F.lit(0)).alias("peak"))
 
 
+class _Last:
+    """An id that comes first in a heap if it is the greatest; null is the least."""
+
+    __slots__ = ("id",)
+
+    def __init__(self, id):
+        self.id = id
+
+    def __lt__(self, other: "_Last") -> bool:
+        return self.id is not None and (other.id is None or self.id > other.id)
+
+
+def swept(rows: Iterable[tuple]) -> Iterator[tuple]:
+    """rows: group, bucket, lo, hi, depth, length, span_id, label, sorted by the first three. (group, label, exclusive) of each group and bucket.
+
+    Open spans wait in a heap, the best on top; ended ones are dropped when they get there, and all at once before the
+    heap grows to twice what was open then, so it holds at most about twice the spans open at a time.
+    """
+    for (group, _), own in groupby(rows, lambda row: row[:2]):
+        sums: dict = {}
+        waiting: list[tuple] = []
+        now, most = None, 1024
+
+        def advance(now, to):
+            while waiting and (to is None or now < to):
+                *_, hi, label = waiting[0]
+                if hi <= now:
+                    heapq.heappop(waiting)
+                    continue
+                until = hi if to is None else min(hi, to)
+                sums[label] = sums.get(label, 0) + until - now
+                now = until
+
+        for i, (_, _, lo, hi, depth, length, span_id, label) in enumerate(own):
+            advance(now, lo)
+            now = lo
+            if len(waiting) >= most:
+                waiting[:] = [x for x in waiting if x[-2] > now]
+                heapq.heapify(waiting)
+                most = max(1024, 2 * len(waiting))
+            heapq.heappush(waiting, (float("inf") if depth is None else -depth, length, _Last(span_id), i, hi, label))
+        advance(now, None)
+        yield from ((group, label, length) for label, length in sums.items())
+
+
 def exclusive(spans: DataFrame, by: str = "g", label: str = "category", bucket: int = 3_600_000_000) -> DataFrame:
     """Each elementary segment belongs to the deepest, then shortest, then greatest span over it; lengths by label.
 
-    Spans and segments meet within buckets of time, so the join has a second equality beside the group, and a group's
-    segments meet only what lies near them. Bucket edges cut segments, which leaves their sums as they are.
+    Spans are cut at the multiples of the bucket, so that a few large groups are spread over tasks, and each (group,
+    bucket) is swept once in the order of starts. Bucket edges cut segments, which leaves their sums as they are.
     """
     cut = F.sequence(F.floor(F.col("st") / bucket), F.floor(F.greatest(F.col("en") - 1, F.col("st")) / bucket))
-    placed = spans.filter("en > st").select(by, label, "span_id", "depth", "st", "en", F.explode(cut).alias("bucket"))
-    inside = placed.withColumn("lo", F.greatest("st", F.col("bucket") * bucket)).withColumn("hi", F.least("en", (F.col("bucket") + 1) * bucket))
-    edges = inside.select(by, "bucket", F.explode(F.array("lo", "hi")).alias("s0")).distinct()
-    segments = edges.withColumn("s1", F.lead("s0").over(Window.partitionBy(by, "bucket").orderBy("s0"))).filter("s1 IS NOT NULL")
-    over = segments.join(inside, [by, "bucket"]).filter((F.col("lo") <= F.col("s0")) & (F.col("hi") >= F.col("s1")))
-    best = over.groupBy(by, "bucket", "s0", "s1").agg(F.max_by(label, F.struct("depth", F.col("st") - F.col("en"), "span_id")).alias(label))
-    return best.groupBy(by, label).agg(F.sum(F.col("s1") - F.col("s0")).alias("exclusive"))
+    spread = spans.filter(F.col(by).isNotNull() & (F.col("en") > F.col("st"))).select(F.col(by).alias("__by"), F.col(label).alias("__label"), "span_id", "depth", "st", "en", F.explode(cut).alias("bucket"))
+    lo, hi = F.greatest("st", F.col("bucket") * bucket), F.least("en", (F.col("bucket") + 1) * bucket)
+    rows = spread.select("__by", "bucket", lo.alias("lo"), hi.alias("hi"), "depth", (F.col("en") - F.col("st")).alias("length"), "span_id", "__label")
+
+    schema = T.StructType([T.StructField(by, rows.schema["__by"].dataType), T.StructField(label, rows.schema["__label"].dataType), T.StructField("exclusive", T.LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in batched(swept(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)), 4096):
+            yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*found, strict=True), arrow.types, strict=True)], schema=arrow)
+
+    sums = rows.repartition("__by", "bucket").sortWithinPartitions("__by", "bucket", "lo").mapInArrow(run, schema)
+    return sums.groupBy(by, label).agg(F.sum("exclusive").alias("exclusive"))
 
 
 def group_metrics(spans: DataFrame, by: str = "g") -> DataFrame:
