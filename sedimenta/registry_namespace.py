@@ -46,14 +46,14 @@ def cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held(spark, sf_dir).filter("entry_id LIKE '%3'").select("entry_id")
 
 
-simple("snapshot_catalog", entries, lambda e: snapshots.capture(e, "s1", 500, HEAD)[1].drop("content"), f"""WITH {E}, M AS (SELECT {HEAD_SQL[0]} || string_agg({ENTRY_JSON}, ',' ORDER BY entry_id) || {HEAD_SQL[1]} AS content FROM E WHERE live = 1)
+simple("snapshot_catalog", entries, lambda e: snapshots.capture(e, "s1", 500, HEAD)[1], f"""WITH {E}, M AS (SELECT {HEAD_SQL[0]} || string_agg({ENTRY_JSON}, ',' ORDER BY entry_id) || {HEAD_SQL[1]} AS content FROM E WHERE live = 1)
   SELECT 's1' AS snapshot_id, 'sha256:' || sha256(content) AS cas_id, CAST(strlen(content) AS BIGINT) AS size, CAST(500 AS BIGINT) AS captured_revision, CAST(1 AS INT) AS live FROM M""")
 
 
 @query("snapshot_decoded", f"WITH {E} SELECT 's1' AS snapshot_id, entry_id, kind, parent_id, name, size, changed_revision FROM E WHERE live = 1")
 def _decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    content = snapshots.capture(entries(spark, sf_dir), "s1", 500, HEAD)[1]
-    return snapshots.decode(content.select("snapshot_id", "content"))[0].select("snapshot_id", "entry_id", "kind", "parent_id", "name", "size", "changed_revision")
+    parts = snapshots.capture(entries(spark, sf_dir), "s1", 500, HEAD)[2]
+    return snapshots.decode(parts)[0].select("snapshot_id", "entry_id", "kind", "parent_id", "name", "size", "changed_revision")
 
 
 @query("snapshot_inspected", f"WITH {HB}, {MB} SELECT snapshot_id, CAST(7 AS BIGINT) AS captured_revision, entry_id, cas_id FROM MB WHERE snapshot_id = 's2'")

@@ -1,5 +1,6 @@
 """Operators against naive versions, algebraic laws and hand-computed values."""
 
+import hashlib
 import random
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from sedimenta.functions.media import media_type, ooxml_type
 from sedimenta.functions.names import canonical_bytes, comparison_key, strings_in
 from sedimenta.functions.scalars import boot_seconds, elapsed, nanoseconds, phase_order, same_boot
-from sedimenta.operators import chains, excise, intervals, onboard, tree, validate, verify
+from sedimenta.operators import chains, excise, intervals, onboard, snapshots, tree, validate, verify
 from sedimenta.plans import composites
 
 SPAN = "g bigint, span_id bigint, category string, depth int, attempt int, outcome string, st bigint, en bigint"
@@ -377,3 +378,31 @@ def test_traces_finalise_once(spark):
     assert {(r["span_id"], r["en"], r["outcome"]) for r in traces.recovered(open_, 9).collect()} == {(1, 9, "interrupted"), (2, 9, "interrupted"), (3, 2, "success")}
     with pytest.raises(traces.Conflict):
         traces.recovered(open_.filter("span_id > 1"), 9)
+
+
+def test_manifests_of_any_length(spark, monkeypatch):
+    monkeypatch.setattr(snapshots, "PART_BYTES", 200)
+    n = 100_050  # more than the published format allows
+    df = spark.range(n, numPartitions=5).selectExpr("concat('e', id) AS entry_id", "'file' AS kind", "'/' AS parent_id", "concat('\u00e4,', id) AS name", "id AS size", "id AS changed_revision", "1 AS live")
+    text = snapshots.header("n1", "plain", 5, "/", {"generation": 1})
+    members, row, parts = snapshots.capture(df, "s1", 5, text)
+    lines = [canonical_bytes(f'{{"metadata":{{}},"entry_id":"e{i}","kind":"file","parent_id":"/","name":"\u00e4,{i}","cas_id":null,"size":{i},"changed_revision":{i}}}').decode().rstrip() for i in sorted(range(n), key=str)]
+    whole = (text[0] + ",".join(lines) + text[1]).encode()
+    assert [(r["cas_id"], r["size"]) for r in row.collect()] == [("sha256:" + hashlib.sha256(whole).hexdigest(), len(whole))]
+    assert [tuple(r) for r in snapshots.over_limits(parts).collect()] == [("s1", n, len(whole))]
+    assert snapshots.over_limits(parts, n, len(whole)).isEmpty()
+    found, errors = snapshots.decode(parts)
+    assert errors.isEmpty() and found.count() == n and found.exceptAll(members.select(found.columns)).isEmpty()
+
+
+def test_torn_manifests_are_errors(spark):
+    text = snapshots.header("n1", "plain", 5, "/", {"generation": 1})
+    entry = '{"cas_id":null,"changed_revision":1,"entry_id":"a","kind":"file","metadata":{},"name":"x","parent_id":"/","size":1}'
+    manifests = {
+        "good": (text[0], entry, text[1]), "keys": (text[0].replace("cas_binding", "binding"), entry, text[1]), "entries": (text[0], entry[:-1], text[1]), "two": (text[0], entry + "," + entry, text[1]),
+        "open": (text[0], entry, text[1][:2]), "null": (text[0].replace("[", "null"), entry, text[1].replace("]", "")),
+    }
+    rows = [("no ends", 1, 1, entry)] + [(k, number, int(number == 1), t) for k, parts in manifests.items() for number, t in zip((0, 1, snapshots.LAST), parts, strict=True)]
+    members, errors = snapshots.decode(spark.createDataFrame(rows, "snapshot_id string, number bigint, n bigint, text string"))
+    assert {r["snapshot_id"] for r in members.collect()} == {"good"}
+    assert {r["snapshot_id"]: r["error"] for r in errors.collect()} == {"keys": "keys", "entries": "entries", "two": "entries", "open": "keys", "null": "entries", "no ends": "keys"}
