@@ -14,6 +14,8 @@ from sedimenta.operators import tree
 STATES = ("prepared", "committed", "rejected", "retired", "recovery-required")
 #: Lists of a request that are sets: sorted, and refused with repeats.
 SETS = ("identities", "operation_ids", "content_ids", "entry_ids")
+#: Rows of declarations that a task groups.
+ROWS = 500_000
 
 
 def state_of() -> Column:
@@ -61,8 +63,13 @@ def fingerprint(request: dict, schema: str) -> str:
 
 
 def declared_conflicts(declared: DataFrame) -> DataFrame:
-    """declared: operation_id, cas_id, size. Content that one request declares with several sizes."""
-    return declared.groupBy("operation_id", "cas_id").agg(F.count_distinct("size").alias("sizes")).filter("sizes > 1")
+    """declared: operation_id, cas_id, size. Content that one request declares with several sizes.
+
+    Nearly every row is a group of its own, so rows are dealt out before they are grouped, into so many parts that each
+    has about ROWS of them: maps of all the groups in a file's split would combine nothing and grow with the input.
+    """
+    parts = 1 + declared.count() // ROWS
+    return declared.repartition(parts, "operation_id", "cas_id").groupBy("operation_id", "cas_id").agg(F.count_distinct("size").alias("sizes")).filter("sizes > 1")
 
 
 def reserved_twice(**tables: DataFrame) -> DataFrame:

@@ -406,3 +406,14 @@ def test_torn_manifests_are_errors(spark):
     members, errors = snapshots.decode(spark.createDataFrame(rows, "snapshot_id string, number bigint, n bigint, text string"))
     assert {r["snapshot_id"] for r in members.collect()} == {"good"}
     assert {r["snapshot_id"]: r["error"] for r in errors.collect()} == {"keys": "keys", "entries": "entries", "two": "entries", "open": "keys", "null": "entries", "no ends": "keys"}
+
+
+def test_declared_conflicts_group_only_dealt_rows(spark, monkeypatch):
+    from sedimenta.operators import operations
+
+    monkeypatch.setattr(operations, "ROWS", 2)
+    df = spark.createDataFrame([("o1", "a", 1), ("o1", "a", 2), ("o1", "a", 2), ("o1", "b", 1), ("o2", "a", 1), ("o2", "b", None), ("o2", "b", 3), (None, "c", 1), (None, "c", 4)], "operation_id string, cas_id string, size int")
+    found = operations.declared_conflicts(df)
+    assert {tuple(r) for r in found.collect()} == {("o1", "a", 2), (None, "c", 2)}
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "Aggregate" not in plan[plan.index("Exchange") :] and ", 5)" in plan[plan.index("Exchange") :]  # 9 rows, 2 a part
