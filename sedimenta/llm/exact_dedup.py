@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import persisted, utf8
+from sedimenta.llm.common import persisted, sliced, utf8
 
 RECIPES = "doc_id bigint, text_sha256 string, ids array<bigint>, chunks array<binary>"
 SALTS = 32
@@ -62,7 +62,7 @@ def recipes(documents: DataFrame, min_chunk: int = 512, average: int = 2048, max
     mask = (1 << hash_bits) - 1
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             shas, ids, chunks = [], [], []
             for value in batch.column(1):
                 data = value.as_py().lower()  # bytes.lower() knows A-Z only

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import persisted, text_or_empty, utf8
+from sedimenta.llm.common import persisted, sliced, text_or_empty, utf8
 
 WORDS, NUM, DEN = 5, 3, 4
 RAW_BELOW = 3  # bands under this have a part for each shingle
@@ -125,7 +125,7 @@ def profiles(documents: DataFrame, raw_bands: frozenset[int]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for text in batch.column(3):
                 s = shingles(text.as_py())
@@ -151,7 +151,7 @@ def sets_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids.hint("shuffle_hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [shingles(t.as_py()) for t in batch.column(1)]
             sigs = [signature(s) for s in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a for a, _ in sigs], pa.int64()), pa.array([b for _, b in sigs], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["id", "sig_a", "sig_b", "shingles"])

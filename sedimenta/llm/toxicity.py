@@ -26,7 +26,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -188,9 +187,10 @@ def scored(documents: DataFrame, model: Model) -> DataFrame:
 def with_scores(documents: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """All columns of documents, and the score of `text`."""
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = model.scorer()
-        return texts.map(own)
+        for texts in batches:
+            yield pa.array([own(text.as_py()) for text in texts], pa.float64())
 
     return documents.withColumn(name, score(utf8()))

@@ -541,3 +541,14 @@ def test_language_accuracy(spark):
     rows = languages_of(pages, docs).collect()
     declared = [r for r in rows if r["declared"]]
     assert len(rows) == pages.count() and sum(r["language"] == r["declared"] for r in declared) >= 0.95 * len(declared)
+
+
+def test_workers_make_small_batches():
+    import pyarrow as pa
+
+    from sedimenta.llm.common import sliced
+
+    batches = [pa.RecordBatch.from_pydict({"x": list(range(a, b))}) for a, b in ((0, 600), (600, 600), (600, 601))]
+    parts = list(sliced(batches))
+    assert [p.num_rows for p in parts] == [256, 256, 88, 1]
+    assert [x for p in parts for x in p.column(0).to_pylist()] == list(range(601))
